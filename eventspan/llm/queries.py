@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, simhash, warc
+from . import bpe, exact_dedup, media, mixing, simhash, warc
 
 
 def docs(spark, sf_dir):
@@ -29,8 +29,12 @@ def op7_bpe(spark, sf_dir):
     return bpe.tokenize(docs(spark, sf_dir))
 
 
+def op9_media(spark, sf_dir):
+    return media.media(docs(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mix, op3_exact_dedup, op4_warc, op6_simhash, op7_bpe)}
+    return {f.__name__: f for f in (op2_mix, op3_exact_dedup, op4_warc, op6_simhash, op7_bpe, op9_media)}
 
 
 def oracle_sql() -> dict[str, str]:
