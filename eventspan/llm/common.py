@@ -74,3 +74,10 @@ def join_shared(left: DataFrame, shared: DataFrame, key: str, salts: int = SALTS
     salted = left.withColumn("__salt", F.pmod(F.xxhash64(F.spark_partition_id(), *columns), F.lit(salts)).cast("int"))
     copies = shared.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [key, "__salt"], "left").drop("__salt")
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows of long texts in one Arrow batch: a session setting, lowered where it is higher."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))

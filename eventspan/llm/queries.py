@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, media, mixing, simhash, warc
+from . import bpe, exact_dedup, line_dedup, media, mixing, simhash, warc
+from .common import bounded_batches
 
 
 def docs(spark, sf_dir):
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -21,6 +23,10 @@ def op4_warc(spark, sf_dir):
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op5_line_dedup(spark, sf_dir):
+    return line_dedup.report(docs(spark, sf_dir))
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(docs(spark, sf_dir))
 
@@ -34,7 +40,7 @@ def op9_media(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mix, op3_exact_dedup, op4_warc, op6_simhash, op7_bpe, op9_media)}
+    return {f.__name__: f for f in (op2_mix, op3_exact_dedup, op4_warc, op5_line_dedup, op6_simhash, op7_bpe, op9_media)}
 
 
 def oracle_sql() -> dict[str, str]:
