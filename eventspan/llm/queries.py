@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, line_dedup, media, mixing, simhash, warc
+from . import bpe, exact_dedup, line_dedup, media, mixing, simhash, toxicity, warc
 from .common import bounded_batches
 
 
@@ -11,6 +11,10 @@ def docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity.toxicity(docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_mix(spark, sf_dir):
     return mixing.mix(docs(spark, sf_dir)).drop("text_hash")
 
@@ -40,7 +44,7 @@ def op9_media(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mix, op3_exact_dedup, op4_warc, op5_line_dedup, op6_simhash, op7_bpe, op9_media)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mix, op3_exact_dedup, op4_warc, op5_line_dedup, op6_simhash, op7_bpe, op9_media)}
 
 
 def oracle_sql() -> dict[str, str]:
