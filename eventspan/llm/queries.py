@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, line_dedup, media, mixing, simhash, toxicity, warc
+from . import bpe, exact_dedup, language, line_dedup, media, mixing, simhash, toxicity, warc
 from .common import bounded_batches
 
 
@@ -43,8 +43,12 @@ def op9_media(spark, sf_dir):
     return media.media(docs(spark, sf_dir))
 
 
+def op10_language(spark, sf_dir):
+    return language.language(docs(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_mix, op3_exact_dedup, op4_warc, op5_line_dedup, op6_simhash, op7_bpe, op9_media)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mix, op3_exact_dedup, op4_warc, op5_line_dedup, op6_simhash, op7_bpe, op9_media, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
