@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language, line_dedup, media, mixing, simhash, toxicity, warc
+from . import bpe, exact_dedup, language, line_dedup, media, mixing, pii, simhash, toxicity, warc
 from .common import bounded_batches
 
 
@@ -39,6 +39,10 @@ def op7_bpe(spark, sf_dir):
     return bpe.tokenize(docs(spark, sf_dir))
 
 
+def op8_pii(spark, sf_dir):
+    return pii.report(docs(spark, sf_dir))
+
+
 def op9_media(spark, sf_dir):
     return media.media(docs(spark, sf_dir))
 
@@ -48,7 +52,7 @@ def op10_language(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_mix, op3_exact_dedup, op4_warc, op5_line_dedup, op6_simhash, op7_bpe, op9_media, op10_language)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mix, op3_exact_dedup, op4_warc, op5_line_dedup, op6_simhash, op7_bpe, op8_pii, op9_media, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:

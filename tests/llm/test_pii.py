@@ -1,0 +1,79 @@
+import datetime
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from eventspan.llm import pii
+
+
+def luhn(d):
+    return sum((int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def plain_feistel(s, alphabet, kind, key):
+    a, b = s[: len(s) // 2], s[len(s) // 2 :]
+
+    def shift(u, v, i):
+        h = hashlib.sha256("\x1f".join([key, kind, str(i), str(len(u)), v]).encode()).digest()
+        return "".join(alphabet[(alphabet.index(c) + h[j]) % len(alphabet)] for j, c in enumerate(u))
+
+    for i in range(pii.ROUNDS):
+        a, b = (shift(a, b, i), b) if i % 2 == 0 else (a, shift(b, a, i))
+    return a + b
+
+
+def test_values(spark):
+    card, bad_card = "4539578763621486", "4539578763621487"
+    assert luhn(card) and not luhn(bad_card)
+    texts = [
+        f"call +1 (913) 555-3797 or 913-555-3797; card {card}, 4539 5787 6362 1486; not {bad_card}.",
+        "mail Er.49@mail9.example.com, ip 9.122.68.47. not 9.122.68.470 nor 300.1.1.1",
+        "born 1984-02-29, 29.02.1984, 02/29/1984; never 1983-02-29 or 31.04.1990; ssn 219-09-9999 not 000-12-3456",
+        'token = "bc0d31ba76f17e56642e8751295a3fd50cd8e61f" iban GB82WEST12345698765432 not GB83WEST12345698765432',
+        None, "", "nothing here 12 345", "x" * 200_000 + " 9.122.68.47",
+    ]
+    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, kind string")
+    got = {r.doc_id: r for r in pii.pseudonymize(df, "k1").collect()}
+    a = got[0].text
+    m = re.fullmatch(r"call \+1 \((\d{3})\) (\d{3})-(\d{4}) or (\d{3})-(\d{3})-(\d{4}); card (\d{16}), (\d{4} \d{4} \d{4} \d{4}); not (\d{16})\.", a)
+    assert m and m.group(1, 2, 3) == m.group(4, 5, 6) != ("913", "555", "3797")
+    assert "".join(m.group(1, 2, 3)) == plain_feistel("9135553797", pii.DIGITS, "phone", "k1")
+    assert luhn(m[7]) and m[7] != card and m[8].replace(" ", "") == m[7] and m[9] == bad_card
+    assert m[7][:-1] == plain_feistel(card[:-1], pii.DIGITS, "card", "k1")
+    b = got[1].text
+    m = re.fullmatch(r"mail ([a-z0-9]{2}\.[a-z0-9]{2})@mail9\.example\.com, ip ([\d.]+)\. not 9\.122\.68\.470 nor 300\.1\.1\.1", b)
+    assert m and m[1].replace(".", "") == plain_feistel("er49", pii.ALNUM, "email", "k1") and all(int(x) < 256 for x in m[2].split(".")) and m[2] != "9.122.68.47"
+    assert got[7].text == "x" * 200_000 + " " + m[2]
+    m = re.fullmatch(r"born (\d{4}-\d\d-\d\d), (\d\d\.\d\d\.\d{4}), (\d\d/\d\d/\d{4}); never 1983-02-29 or 31\.04\.1990; ssn (\d{3})-(\d\d)-(\d{4}) not 000-12-3456", got[2].text)
+    assert m
+    d = datetime.date.fromisoformat(m[1])
+    assert m[2] == d.strftime("%d.%m.%Y") and m[3] == d.strftime("%m/%d/%Y") and d != datetime.date(1984, 2, 29)
+    assert m[4] not in ("000", "666") and m[4] < "900" and m[5] != "00" and m[6] != "0000"
+    m = re.fullmatch(r'token = "([0-9a-f]{40})" iban (GB\d\dWEST\d{14}) not GB83WEST12345698765432', got[3].text)
+    assert m and m[1] == plain_feistel("bc0d31ba76f17e56642e8751295a3fd50cd8e61f", pii.HEX, "secret", "k1")
+    assert int("".join(str(int(c, 36)) for c in m[2][4:] + m[2][:4])) % 97 == 1
+    assert got[4].text is None and got[5].text == "" and got[6].text == texts[6] and got[6]["__found"] == [] and got[4].kind == "k"
+    assert pii.pseudonymize(df, "k2").where("doc_id = 0").first().text != a
+    assert pii.report(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [(3, 4), (288, 256)])
+def test_number_permutation_is_one_to_one(spark, sizes):
+    n = sizes[0] * sizes[1]
+    got = spark.range(n).select(pii.feistel_number(F.col("id"), sizes, F.lit("t"), "k").alias("p"))
+    assert got.distinct().count() == n and got.agg(F.max("p")).first()[0] == n - 1
+
+
+def test_text_permutation_is_one_to_one(spark):
+    for length in (1, 2, 3):
+        s = F.lpad(F.col("id").cast("string"), length, "0")
+        got = spark.range(10**length).select(pii.feistel_text(s, pii.DIGITS, F.lit("t"), "k").alias("p"))
+        assert got.distinct().count() == 10**length and got.where(F.length("p") != length).count() == 0
+
+
+def test_plan_has_no_python(spark):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    plan = pii.report(df)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Exchange", plan)
