@@ -40,7 +40,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, row_key.
+    """One row per input row: doc_id, size, source_size, target, taken, text_hash.
 
     Each row gets a hash-random key. Rows are dealt by source and by equal ranges of the key, sorted there, and a prefix sum
     runs inside each range; the sums of the ranges before it come from one small row per source and range. The source's
@@ -79,6 +79,21 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: st
     return slim.join(parts, ["skey", "range_"]).withColumn("before", before).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "text_hash")
 
 
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mixture itself: each row as often as the mix takes it, whole, and the last one of a source in part, cut after a
+    word. All columns as they are but the text of a row in part. Rows of which nothing is taken go, rows without words too.
+    Rows with equal id and text count as one that is taken for all of them."""
+    keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("__k1"), F.xxhash64(text_col).alias("__k2")]
+    plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("taken > 0")
+    plan = plan.groupBy(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("__k1"), F.col("text_hash").alias("__k2")).agg(F.max("size").alias("__size"), F.sum("taken").alias("__taken"))
+    one = docs.select("*", *keys).withColumn("__turn", F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy(F.col(id_col)))).where("__turn = 1")
+    copies = F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int"))
+    rows = one.join(plan, ["__k1", "__k2"]).withColumn("__copy", F.explode(copies))
+    rest = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
+    part = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.greatest(rest, F.lit(1)).cast("int")), "")
+    return rows.select(*[F.when(rest < F.col("__size"), part).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+
+
 SQL = """
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
                   md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),

@@ -32,7 +32,7 @@ def op5_line_dedup(spark, sf_dir):
 
 
 def op6_simhash(spark, sf_dir):
-    return simhash.near_duplicates(docs(spark, sf_dir))
+    return simhash.near_duplicates(docs(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
 def op7_bpe(spark, sf_dir):

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, join_shared
@@ -43,14 +43,15 @@ def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long) of every row. Null text counts as empty."""
+    """doc_id, h (a hash of the text), fp (the fingerprint's bits as a signed long) of every row. Null text counts as empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.array([fingerprint(t, words) for t in batch["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "h": batch["h"], "fp": fp.view(np.int64)})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.mapInPandas(run, "doc_id long, h long, fp long")
 
 
 def segments(fp: np.ndarray) -> np.ndarray:
@@ -196,21 +197,33 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (16 lower-case hex digits), component_id.
+    """One row per input row: doc_id, fingerprint (16 lower-case hex digits), component_id, h, kept.
 
     Equal fingerprints are collapsed first (a minimum per fingerprint), so copies cost nothing after that; the distinct ones
     are linked and their components found by distributed rounds; rows get their component by a salted join. component_id is
-    the smallest doc_id reachable over links. Null text counts as empty: fingerprint zero, linked like any other. Null ids
-    take part but are no component's id unless all its ids are null. Repeated rows each give a row. Only two columns are read.
+    the smallest doc_id reachable over links; kept holds for that row (of rows with that id, for those with the smallest text
+    hash h). Null text counts as empty: fingerprint zero, linked like any other. Null ids take part but are no component's id
+    unless all its ids are null. Repeated rows each give a row. Only two columns are read.
     """
     rows = cut(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    groups = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    groups = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("least"), F.count(F.lit(1)).alias("n"))
     roots = components(links(rows.select("fp").distinct()))
     placed = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    shared = placed.join(placed.groupBy("root").agg(F.min("least").alias("component"), F.sum("n").alias("members")), "root").where("members > 1").select("fp", "component", F.lit(True).alias("shared"))
+    shared = placed.join(placed.groupBy("root").agg(F.min("least").alias("top"), F.sum("n").alias("members")), "root").where("members > 1").select("fp", "top")
     found = join_shared(rows, shared, "fp")
+    alone = F.col("top").isNull()
     return found.select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        F.when(F.col("shared").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("component_id"),
+        "h",
+        (alone | F.col("top.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("top.h") == F.col("h"))).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
+    """docs without all but one row of each component, all columns as they are. Of repeated rows one stays."""
+    kept = near_duplicates(docs, id_col, text_col, words).where("kept").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("__k1"), F.col("h").alias("__k2")).distinct()
+    keyed = docs.withColumn("__k1", F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))).withColumn("__k2", F.xxhash64(text_col))
+    turn = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy(F.col(id_col)))
+    return keyed.join(kept, ["__k1", "__k2"], "left_semi").withColumn("__turn", turn).where("__turn = 1").select(docs.columns)

@@ -241,6 +241,21 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
     return rows.mapInPandas(run, f"doc_id long, {kinds}score double, predicted int, evidence array<long>, similarity array<double>")
 
 
+def reject(docs: DataFrame, index: Index, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows whose score is below `limit`, all columns untouched. Null text is scored as empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        index = shared.value
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            yield batch.filter(pa.array([index.score(index.match(t or ""))[0] < limit for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     """Texts with a label, of documents for which `learn` (over doc_id) holds. Ids that labels repeat are learned from once for each label."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)").distinct()
