@@ -60,6 +60,11 @@ def chunks_of(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
+def chunk_key(chunk: bytes) -> bytes:
+    """128 bits of its SHA-256; the whole payload is verified by all 256 of its own."""
+    return hashlib.sha256(chunk).digest()[:16]
+
+
 def recipe(n_bytes: int, digests: list[bytes]) -> bytes:
     return MAGIC + struct.pack("<QI", n_bytes, len(digests)) + b"".join(digests)
 
@@ -83,7 +88,7 @@ def manifests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             rows = []
             for text in batch["text"]:
                 data = payload_of(text)
-                rows.append((len(text.encode("utf-8", "replace")), hashlib.sha256(data).digest(), [hashlib.sha256(c).digest() for c in chunks_of(data)]))
+                rows.append((len(text.encode("utf-8", "replace")), hashlib.sha256(data).digest(), [chunk_key(c) for c in chunks_of(data)]))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": pd.Series([r[0] for r in rows], dtype="int64"), "payload": [r[1] for r in rows], "digests": [r[2] for r in rows]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -103,7 +108,7 @@ def write_chunks(docs: DataFrame, path: str, buckets: int, id_col: str = "doc_id
             rows, held = [], 0
             for text in batch["text"]:
                 for c in chunks_of(payload_of(text)):
-                    d = hashlib.sha256(c).digest()
+                    d = chunk_key(c)
                     if d not in seen:
                         seen.add(d)
                         rows.append((d, bz2.compress(c)))
@@ -126,11 +131,12 @@ def write_chunks(docs: DataFrame, path: str, buckets: int, id_col: str = "doc_id
 def rebuild(entries: DataFrame, store: DataFrame, hot_uses: int = HOT_USES, salts: int = SALTS) -> DataFrame:
     """entries: payload, n_bytes, seq, digest. Returns a row per payload with what its rebuilt bytes and stored form show.
 
-    Entries meet the store's buckets by digest; the bytes move once, to their payload. Digests with very many uses are few;
-    they are joined apart, with a copy of the chunk for each salt. Chunks are put in order and each chunk and the whole are
-    verified by digest, one payload at a time.
+    Entries meet the store's buckets by digest; the bytes move once, to their payload. Digests with very many uses are few
+    and listed first; they are joined apart, with a copy of the chunk for each salt. Chunks are put in order and the whole
+    is verified by its digest, one payload at a time.
     """
-    hot = entries.groupBy("digest").agg(F.count(F.lit(1)).alias("uses")).where(F.col("uses") > hot_uses).select("digest", F.lit(True).alias("hot"))
+    uses = entries.groupBy("digest").agg(F.count(F.lit(1)).alias("uses")).where(F.col("uses") > hot_uses)
+    hot = cut(uses.select("digest", F.lit(True).alias("hot")), "hot-chunks")
     marked = entries.join(hot, "digest", "left")
     salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     cold = marked.where("hot IS NULL").drop("hot").hint("shuffle_hash").join(store, "digest")
@@ -149,16 +155,14 @@ def rebuild(entries: DataFrame, store: DataFrame, hot_uses: int = HOT_USES, salt
             rows.append((at, len(data), zlib.crc32(data[-32:]), len(form), hashlib.sha256(form).hexdigest(), feature_of(data)))
 
         for batch in batches:
-            for payload, n, digest, data in zip(batch["payload"], batch["n_bytes"], batch["digest"], batch["data"]):
-                payload, digest, data = bytes(payload), bytes(digest), bytes(data)
+            for payload, n, data in zip(batch["payload"], batch["n_bytes"], batch["data"]):
+                payload, data = bytes(payload), bytes(data)
                 if payload != at:
                     if at is not None:
                         close()
                     at, n_bytes, digests, parts, stored = payload, n, [], [], []
                 chunk = bz2.decompress(data)
-                if hashlib.sha256(chunk).digest() != digest:
-                    raise ValueError("a stored chunk differs from its digest")
-                digests.append(digest)
+                digests.append(chunk_key(chunk))
                 parts.append(chunk)
                 stored.append(data)
             yield pd.DataFrame(rows, columns=columns)
@@ -167,7 +171,7 @@ def rebuild(entries: DataFrame, store: DataFrame, hot_uses: int = HOT_USES, salt
             close()
             yield pd.DataFrame(rows, columns=columns)
 
-    columns = ["payload", "n_bytes", "seq", "digest", "data"]
+    columns = ["payload", "n_bytes", "seq", "data"]
     ordered = cold.select(columns).union(many.select(columns)).repartition("payload").sortWithinPartitions("payload", "seq")
     return ordered.mapInPandas(run, "payload binary, payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
