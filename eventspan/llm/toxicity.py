@@ -140,19 +140,27 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(c[0]), float(c[1])) if c[0] > 0 else (0.0, 0.0)
 
 
-def fit(labelled: DataFrame, max_rows: int = MAX_FIT_ROWS, max_terms: int = MAX_TERMS, max_examples: int = MAX_EXAMPLES) -> Index:
-    """labelled: doc_id, text, toxic (0 or 1).
+def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
+    """doc_id, text, toxic of about max_rows documents, chosen by id hash, for whose doc_id `learn` holds.
 
-    Fits on at most about max_rows rows, chosen by text hash; equal texts of a label count once. Terms are the max_terms words
-    and word stems that go with the label most (chi square); examples the max_examples rows by text hash that have such a
-    term. What the driver gets is bounded by these three numbers. Rows without any such term only set the score of texts
-    without one.
+    The choice is made among the slim labels, so what is broadcast to find the texts has a bound and no text is shuffled.
+    An id that labels repeat counts once for each label it has.
     """
-    rows = labelled.where("toxic IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    n = rows.select("h", "toxic").distinct().count()
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(learn).distinct()
+    n = known.count()
     if n > max_rows:
-        rows = rows.where(F.pmod("h", F.lit(1 << 20)) < int(max_rows / n * (1 << 20)))
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(max_rows / n * (1 << 20)))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+
+
+def fit(labelled: DataFrame, max_terms: int = MAX_TERMS, max_examples: int = MAX_EXAMPLES) -> Index:
+    """labelled: doc_id, text, toxic (0 or 1), of a bounded number of rows (see training_rows).
+
+    Equal texts of a label count once. Terms are the max_terms words and word stems that go with the label most (chi square);
+    examples the max_examples rows by text hash that have such a term. What the driver gets is bounded by these numbers. Rows
+    without any such term only set the score of texts without one.
+    """
+    rows = labelled.select(F.xxhash64("text").alias("h"), "doc_id", "text", "toxic")
     rows = cut(rows.groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text")), "toxicity-fit")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,13 +264,6 @@ def reject(docs: DataFrame, index: Index, text_col: str = "text", limit: float =
     return docs.mapInArrow(run, docs.schema)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
-    """Texts with a label, of documents for which `learn` (over doc_id) holds. Ids that labels repeat are learned from once for each label."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(learn)
-    return texts.join(known, "doc_id")
-
-
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence, similarity. Learns from rows whose crc32(doc_id) mod 5 is not 0."""
     held_out = crc_mod(F.col("doc_id"), 5) == 0
