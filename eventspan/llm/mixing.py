@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import cut, n_words
 
 WEIGHTS = (3.0, 1.0, 2.0)
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 5_000
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
