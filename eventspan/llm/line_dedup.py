@@ -10,12 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_shared
+from .common import cut, drop_path, join_shared, new_path
 
 #: A run of at least this many words that stood earlier is removed; fingerprints are of half as many.
 RUN_WORDS = 50
 GRAM_WORDS = 25
-SCHEMA = "key binary, k1 long, k2 long, start int, stop int, words int, left array<long>, left_words array<int>, right array<long>, right_words array<int>"
+#: left and right: for each line around a gram, nearest first, 8 bytes of its digest and 4 of the words from the gram to its end.
+SCHEMA = "key binary, k1 long, k2 long, start int, stop int, words int, left binary, right binary"
+ITEM = 12
 
 
 def ends(total: np.ndarray, least: int) -> np.ndarray:
@@ -24,7 +26,7 @@ def ends(total: np.ndarray, least: int) -> np.ndarray:
 
 
 def fingerprints(text: str, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> list[tuple]:
-    """Winnowed fingerprints of a text: (digest, first line, last line, words, lines and words around them).
+    """Winnowed fingerprints of a text: (digest, first line, last line, words, lines before, lines after); see SCHEMA.
 
     A gram is the shortest run of whole lines from some line on with at least gram_words words. A window is the shortest run
     of lines with at least run_words words; of the grams inside it the one with the smallest digest is selected. Equal runs
@@ -40,7 +42,7 @@ def fingerprints(text: str, run_words: int = RUN_WORDS, gram_words: int = GRAM_W
     n = len(lines)
     gram_end, window_end = ends(total, gram_words), ends(total, run_words)
     code = [hashlib.blake2b(x.encode("utf-8", "replace"), digest_size=16).digest() for x in lines]
-    short = [int.from_bytes(x[:8], "little", signed=True) for x in code]
+    around = lambda at, reach: b"".join(code[i][:8] + int(n).to_bytes(4, "big") for i, n in zip(at, reach))
     grams = [(hashlib.blake2b(b"".join(code[i : e + 1]), digest_size=16).digest() if e < n and words[i] else None) for i, e in enumerate(gram_end.tolist())]
     chosen: set[int] = set()
     for i, b in enumerate(window_end.tolist()):
@@ -54,15 +56,20 @@ def fingerprints(text: str, run_words: int = RUN_WORDS, gram_words: int = GRAM_W
         e = int(gram_end[j])
         a = int(np.searchsorted(total, total[j] - run_words, side="right")) - 1 if total[j] >= run_words else 0
         b = min(n, int(np.searchsorted(total, total[e + 1] + run_words)))
-        out.append((grams[j], j, e, int(total[e + 1] - total[j]), short[a:j][::-1], (total[j] - total[a:j])[::-1].tolist(), short[e + 1 : b], (total[e + 2 : b + 1] - total[e + 1]).tolist()))
+        out.append((grams[j], j, e, int(total[e + 1] - total[j]), around(range(j - 1, a - 1, -1), (total[j] - total[a:j])[::-1]), around(range(e + 1, b), total[e + 2 : b + 1] - total[e + 1])))
     return out
 
 
 def same_lines(a: Column, b: Column) -> Column:
-    """How many first elements of two arrays agree."""
-    agree = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    first = F.array_position(agree, False)
-    return F.when(first > 0, first - 1).otherwise(F.size(agree)).cast("int")
+    """How many first items of two packed lists agree."""
+    n = F.floor(F.least(F.length(a), F.length(b)) / ITEM).cast("int")
+    item = lambda x, i: F.substring(x, (i - 1) * ITEM + 1, F.lit(ITEM))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), lambda k, i: F.when((i <= n) & (k == i - 1) & (item(a, i) == item(b, i)), i).otherwise(k))
+
+
+def words_to(a: Column, n: Column) -> Column:
+    """Words up to the end of the n-th item."""
+    return F.when(n > 0, F.conv(F.hex(F.substring(a, n * ITEM - 3, F.lit(4))), 16, 10).cast("int")).otherwise(0)
 
 
 def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
@@ -80,17 +87,18 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int =
             rows = [(f[0], k1, k2, *f[1:]) for k1, k2, text in zip(batch["k1"], batch["k2"], batch["text"]) for f in fingerprints(text, run_words, gram_words)]
             yield pd.DataFrame(rows, columns=names)
 
-    marks = cut(docs.select("k1", "k2", "text").mapInPandas(run, SCHEMA), "line-marks")
+    spark = docs.sparkSession
+    path = new_path(spark, "line-marks")
+    marks = cut(docs.select("k1", "k2", "text").mapInPandas(run, SCHEMA), "line-marks", path)
     again = marks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.lit(True).alias("again"))
     shared = join_shared(marks, again, "key").where("again").drop("again")
-    name = F.hex("key")
-    beside = [F.when(F.size(side) > 0, F.concat(name, F.lit(at), F.hex(F.element_at(side, 1)))) for at, side in (("<", F.col("left")), (">", F.col("right")))]
-    named = shared.withColumn("name", F.explode(F.array_compact(F.array(name, *beside)))).drop("key")
+    beside = [F.when(F.length(side) > 0, F.concat("key", F.lit(at).cast("binary"), F.substring(side, 1, 8))) for at, side in (("<", "left"), (">", "right"))]
+    named = cut(shared.withColumn("name", F.explode(F.array_compact(F.array("key", *beside)))).drop("key"), "line-shared")
+    drop_path(spark, path)
     first = named.groupBy("name").agg(F.min(F.struct("k1", "k2", "start", "left", "right")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("name", "f")
     later = join_shared(named, first, "name").where(F.col("f").isNotNull() & (F.struct("k1", "k2", "start") > F.struct("f.k1", "f.k2", "f.start")))
     up, down = same_lines(F.col("left"), F.col("f.left")), same_lines(F.col("right"), F.col("f.right"))
-    reach = lambda n, words: F.when(n > 0, F.element_at(words, F.greatest(n, F.lit(1)))).otherwise(0)
-    runs = later.withColumn("up", up).withColumn("down", down).where(F.col("words") + reach(F.col("up"), F.col("left_words")) + reach(F.col("down"), F.col("right_words")) >= run_words)
+    runs = later.withColumn("up", up).withColumn("down", down).where(F.col("words") + words_to(F.col("left"), F.col("up")) + words_to(F.col("right"), F.col("down")) >= run_words)
     return runs.groupBy("k1", "k2").agg(F.collect_set(F.struct((F.col("start") - F.col("up")).alias("a"), (F.col("stop") + F.col("down")).alias("b"))).alias("runs"))
 
 
@@ -105,7 +113,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.withColumn("__k1", k1).withColumn("__k2", k2)
     texts = docs.select(k1.alias("k1"), k2.alias("k2"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     runs = cut(repeated_runs(texts, run_words, gram_words), "line-runs")
-    found = keyed.join(runs.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("runs").alias("__runs")), ["__k1", "__k2"], "left")
+    marked = runs.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("runs").alias("__runs"))
+    found = keyed.join(marked, ["__k1", "__k2"], "left")
     lines = F.split(F.col(text_col), "\n")
     inside = lambda i: F.exists("__runs", lambda r: (r["a"] <= i) & (i <= r["b"]))
     gone = F.filter(lines, lambda _, i: inside(i))
