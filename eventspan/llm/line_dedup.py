@@ -113,7 +113,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.withColumn("__k1", k1).withColumn("__k2", k2)
     texts = docs.select(k1.alias("k1"), k2.alias("k2"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     runs = cut(repeated_runs(texts, run_words, gram_words), "line-runs")
-    marked = runs.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("runs").alias("__runs"))
+    marked = runs.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("runs").alias("__runs")).hint("merge")  # no size bound: never broadcast
     found = keyed.join(marked, ["__k1", "__k2"], "left")
     lines = F.split(F.col(text_col), "\n")
     inside = lambda i: F.exists("__runs", lambda r: (r["a"] <= i) & (i <= r["b"]))
