@@ -176,7 +176,7 @@ def fit(labelled: DataFrame, max_terms: int = MAX_TERMS, max_examples: int = MAX
 
     total = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n, n1 = sum(total.values()), total.get(1, 0)
-    prior = (n1 + 0.5) / (n + 1)
+    prior = (n1 + 0.5) / (n + 2)  # nothing learned speaks for clean
     if not n1 or n1 == n:
         return Index.build({}, np.zeros(0), [], prior, prior)
     df, bad = F.col("df").cast("double"), F.col("bad").cast("double")
