@@ -1,48 +1,79 @@
-"""Ordered folds: each step depends on what survived so far. One group is one sorted pandas frame; groups are one clip or one
-user's events, so they have a bound."""
+"""Ordered folds: each step depends on what survived so far. Rows are dealt by key and sorted by Spark, and a fold reads them as
+a stream: it holds the survivors of one key, not its rows, and small keys cost no call of their own."""
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def fold_sorted(df: DataFrame, keys: list[str], order: list[Column], fold: Callable) -> DataFrame:
+    """fold(): returns a pair of functions for one key: step(row) gives rows to pass on, end() the last ones. Rows are tuples in
+    the order of df's columns."""
+    at = [df.columns.index(k) for k in keys]
+    names = df.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, step, end = None, None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.itertuples(index=False, name=None):
+                key = tuple(row[i] for i in at)
+                if key != now:
+                    if end:
+                        out += end()
+                    now, (step, end) = key, fold()
+                out += step(row)
+            yield pd.DataFrame(out, columns=names)
+        if end:
+            yield pd.DataFrame(end(), columns=names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, df.schema)
 
 
 def greedy_spacing(df: DataFrame, keys: list[str], t: str, strength: str, spacing: int) -> DataFrame:
     """Strongest first (the earlier of equals), rows at least `spacing` away from all kept ones are kept."""
+    at = df.columns.index(t)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([strength, t], ascending=[False, True], kind="stable")
+    def fold():
         kept: list[int] = []
-        keep = []
-        for x in pdf[t].tolist():
+
+        def step(row):
+            x = row[at]
             i = bisect_left(kept, x)
-            ok = (i == len(kept) or kept[i] - x >= spacing) and (i == 0 or x - kept[i - 1] >= spacing)
-            keep.append(ok)
-            if ok:
+            if (i == len(kept) or kept[i] - x >= spacing) and (i == 0 or x - kept[i - 1] >= spacing):
                 insort(kept, x)
-        return pdf[keep]
+                return [row]
+            return []
 
-    return df.groupBy(*keys).applyInPandas(run, df.schema)
+        return step, list
+
+    return fold_sorted(df, keys, [F.desc(strength), F.asc(t)], fold)
 
 
 def dedupe_by_peak(df: DataFrame, keys: list[str], t: str, strength: str, margin: int) -> DataFrame:
     """In time order a row within `margin` of the current survivor replaces it if it is stronger, else goes."""
+    at, how = df.columns.index(t), df.columns.index(strength)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([t, strength], ascending=[True, False], kind="stable")
-        kept: list[int] = []
-        ts, ss = pdf[t].tolist(), pdf[strength].tolist()
-        for i in range(len(pdf)):
-            if kept and ts[i] - ts[kept[-1]] <= margin:
-                if ss[i] > ss[kept[-1]]:
-                    kept[-1] = i
-                continue
-            kept.append(i)
-        return pdf.iloc[kept]
-
-    return df.groupBy(*keys).applyInPandas(run, df.schema)
+    def fold():
+        held: list[tuple] = []
+
+        def step(row):
+            if held and row[at] - held[0][at] <= margin:
+                if row[how] > held[0][how]:
+                    held[0] = row
+                return []
+            out = held[:]
+            held[:] = [row]
+            return out
+
+        return step, lambda: held
+
+    return fold_sorted(df, keys, [F.asc(t), F.desc(strength)], fold)
 
 
 def one_to_one(refs: DataFrame, dets: DataFrame, key: str, ref_t: str, det_t: str, collar: int) -> DataFrame:

@@ -288,10 +288,104 @@ def trim_to_next(spark, sf):
     return d.spans(spark, sf).select("event_id", F.least("end_us", F.coalesce(nxt, F.col("end_us"))).alias("end_us"))
 
 
-# Labels, rules, rows
+# Measures of peaks
+
+
+@query(f"WITH {G_SQL}, m AS (SELECT *, quantile_cont(value, 0.5) OVER (PARTITION BY clip ORDER BY frame_idx ROWS BETWEEN 13 PRECEDING AND 2 PRECEDING) AS bed, count(*) OVER (PARTITION BY clip ORDER BY frame_idx ROWS BETWEEN 13 PRECEDING AND 2 PRECEDING) AS n FROM g) SELECT clip, frame_idx, round(CASE WHEN n < 4 THEN 0.0 WHEN bed <= 0 THEN 999.0 ELSE least(value / bed, 999.0::DOUBLE) END, 6) AS prominence FROM m")
+def flux_prominence(spark, sf):
+    """Value over the median of what lies just before it; 0 without enough of that, 999 at most."""
+    w = Window.partitionBy("clip").orderBy("frame_idx").rowsBetween(-13, -2)
+    m = d.grid(spark, sf).withColumn("bed", F.percentile("value", 0.5).over(w)).withColumn("n", F.count(F.lit(1)).over(w))
+    p = F.when(F.col("n") < 4, 0.0).when(F.col("bed") <= 0, 999.0).otherwise(F.least(F.try_divide("value", "bed"), F.lit(999.0)))
+    return m.select("clip", "frame_idx", F.round(p, 6).alias("prominence"))
+
+
+@query(f"WITH {G_SQL}, m AS (SELECT *, max(value) OVER (PARTITION BY clip ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near, max(value) OVER (PARTITION BY clip) AS top FROM g) SELECT clip, frame_idx, round(CASE WHEN top > 0 THEN near / top ELSE 0.0 END, 4) AS rel_max FROM m")
+def measure_attacks(spark, sf):
+    g = frames.peak_hold(d.grid(spark, sf), K, "frame_idx", "value", 2, "near").withColumn("top", F.max("value").over(Window.partitionBy("clip")))
+    return g.select("clip", "frame_idx", F.round(F.when(F.col("top") > 0, F.try_divide("near", "top")).otherwise(0.0), 4).alias("rel_max"))
+
+
+@query(f"""WITH {S_SQL}, k AS (SELECT clip, category, list_reduce(list([t_us] ORDER BY cents DESC, t_us), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: abs(y - x[1]) < {12 * HOUR})) > 0 THEN acc ELSE list_concat(acc, x) END) AS kept FROM s GROUP BY ALL),
+u AS (SELECT clip, category, unnest(kept) AS t_us FROM k), j AS (SELECT s.* FROM s JOIN u USING (clip, category, t_us))
+SELECT event_id, least(end_us, coalesce(lead(t_us) OVER (PARTITION BY clip ORDER BY t_us, event_id), end_us)) AS end_us FROM j""")
+def suppress_overlaps(spark, sf):
+    """Of each category the strongest, spaced apart; then every span ends where the next one starts."""
+    kept = folds.greedy_spacing(d.spans(spark, sf), ["clip", "category"], "t_us", "cents", 12 * HOUR)
+    nxt = F.lead("t_us").over(Window.partitionBy("clip").orderBy("t_us", "event_id"))
+    return kept.select("event_id", F.least("end_us", F.coalesce(nxt, F.col("end_us"))).alias("end_us"))
+
+
+@query(f"WITH {G_SQL}, m AS (SELECT *, max(value) OVER (PARTITION BY clip) AS top FROM g) SELECT clip, min(frame_idx) FILTER (value >= 0.18::DOUBLE * top) AS onset FROM m GROUP BY clip")
+def segment_onset(spark, sf):
+    m = d.grid(spark, sf).withColumn("top", F.max("value").over(Window.partitionBy("clip")))
+    return m.groupBy("clip").agg(F.min(F.when(F.col("value") >= F.lit(0.18) * F.col("top"), F.col("frame_idx"))).alias("onset"))
+
+
+@query(f"WITH {G_SQL}, l AS (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b FROM g WINDOW w AS (PARTITION BY clip ORDER BY frame_idx)) SELECT clip, frame_idx, round(value, 6) AS value FROM l WHERE value >= coalesce(a, -1) AND value >= coalesce(b, -1) ORDER BY l.value DESC, frame_idx, clip LIMIT 40")
+def attack_scan_topn(spark, sf):
+    w = Window.partitionBy("clip").orderBy("frame_idx")
+    g = d.grid(spark, sf).withColumn("a", F.lag("value").over(w)).withColumn("b", F.lead("value").over(w))
+    v = F.col("value")
+    top = g.where((v >= F.coalesce("a", F.lit(-1.0))) & (v >= F.coalesce("b", F.lit(-1.0)))).orderBy(F.desc("value"), "frame_idx", "clip").limit(40)
+    return top.select("clip", "frame_idx", F.round("value", 6).alias("value"))
 
 
-LABELS = ["Gunshot, gunfire", "  machine  GUN ", "Smash", "Car", "Crash cymbal", "tank", "Music", "", "boom"]
+@query(f"WITH {V_SQL}, l AS (SELECT clip, frame_idx, vec AS a, lag(vec) OVER (PARTITION BY clip ORDER BY frame_idx) AS b FROM v), q AS (SELECT *, len(a) AS n, list_sum(a) AS sa, list_sum(b) AS sb, list_sum(list_transform(a, lambda x: x * x)) AS aa, list_sum(list_transform(b, lambda x: x * x)) AS bb, list_sum(list_transform(list_zip(a, b), lambda z: z[1] * z[2])) AS ab FROM l WHERE b IS NOT NULL) SELECT clip, frame_idx, round((n * ab - sa * sb) / (sqrt(n * aa - sa * sa) * sqrt(n * bb - sb * sb)), 5) AS continuity FROM q")
+def vector_continuity(spark, sf):
+    """Pearson correlation of each vector with the one before."""
+    v = d.vectors(spark, sf).withColumn("last", F.lag("vec").over(Window.partitionBy("clip").orderBy("frame_idx"))).where("last IS NOT NULL")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    a, b = F.col("vec"), F.col("last")
+    dot = lambda x, y: total(F.zip_with(x, y, lambda p, q: p * q))
+    n = F.size(a)
+    q = v.select("clip", "frame_idx", n.alias("n"), total(a).alias("sa"), total(b).alias("sb"), dot(a, a).alias("aa"), dot(b, b).alias("bb"), dot(a, b).alias("ab"))
+    c = F.expr("(n * ab - sa * sb) / (sqrt(n * aa - sa * sa) * sqrt(n * bb - sb * sb))")
+    return q.select("clip", "frame_idx", F.round(c, 5).alias("continuity"))
+
+
+@query(f"WITH {S_SQL}, {MERGED.format(k='clip, category', gap=0)}, u AS (SELECT clip, category, min(t_us) AS a, max(end_us) AS b, count(*) AS n FROM i GROUP BY clip, category, isl), t AS (SELECT clip, category, CAST(sum(n) AS BIGINT) AS spans, CAST(sum(b - a) AS BIGINT) AS covered FROM u GROUP BY ALL) SELECT *, spans >= 3 OR spans >= 2 AND covered / {720 * HOUR}.0 >= 0.15 AS intermittent FROM t")
+def intermittent_flag(spark, sf):
+    u = islands.union_length(d.spans(spark, sf), ["clip", "category"], "t_us", "end_us")
+    share = F.col("covered") / F.lit(720.0 * HOUR)
+    return u.select("clip", "category", "spans", "covered", ((F.col("spans") >= 3) | (F.col("spans") >= 2) & (share >= 0.15)).alias("intermittent"))
+
+
+@query(f"WITH {E_SQL} SELECT clip, CASE WHEN grouping(category) = 1 THEN 'all' ELSE category END AS category, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents, max(cents) AS top FROM e GROUP BY GROUPING SETS ((clip, category), (clip))")
+def category_totals(spark, sf):
+    """Per category and over all categories in one pass, as scores are reported."""
+    e = d.events(spark, sf).rollup("clip", "category").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"), F.max("cents").alias("top"), F.grouping("category").alias("g"), F.grouping("clip").alias("gc"))
+    return e.where("gc = 0").select("clip", F.when(F.col("g") == 1, "all").otherwise(F.col("category")).alias("category"), "n", "cents", "top")
+
+
+@query(f"WITH {E_SQL}, x AS (SELECT clip, t_us // {24 * HOUR} AS day, coalesce(max(cents) FILTER (category = 'click'), 0) / 30000.0::DOUBLE AS au, coalesce(max(cents) FILTER (category = 'view'), 0) / 30000.0::DOUBLE AS vi, bool_or(category = 'error') AS ctx FROM e GROUP BY ALL), y AS (SELECT *, greatest(au, vi, 0.7::DOUBLE * au + 0.3::DOUBLE * vi) AS base FROM x), z AS (SELECT clip, day, CASE WHEN ctx THEN least(1.0::DOUBLE, base * 1.05::DOUBLE) ELSE base END AS s FROM y) SELECT clip, day, round(s, 6) AS score FROM z WHERE s >= 0.35")
+def weighted_score(spark, sf):
+    """Two sources' scores under weights, raised a little where a context token stands, over a threshold."""
+    e = d.events(spark, sf)
+    top = lambda c: F.coalesce(F.max(F.when(F.col("category") == c, F.col("cents"))), F.lit(0)) / F.lit(30000.0)
+    x = e.groupBy("clip", F.floor(F.col("t_us") / F.lit(24 * HOUR)).alias("day")).agg(top("click").alias("au"), top("view").alias("vi"), F.bool_or(F.col("category") == "error").alias("ctx"))
+    base = F.greatest("au", "vi", F.lit(0.7) * F.col("au") + F.lit(0.3) * F.col("vi"))
+    s = x.withColumn("s", F.when(F.col("ctx"), F.least(F.lit(1.0), base * 1.05)).otherwise(base)).where("s >= 0.35D")
+    return s.select("clip", "day", F.round("s", 6).alias("score"))
+
+
+@query(f"WITH {E_SQL}, r AS (SELECT clip, min(t_us) AS lo, max(t_us) AS hi FROM e GROUP BY clip), w AS (SELECT clip, lo, hi, unnest(range(lo + {HOUR * 12}, hi + 1, {HOUR * 24})) AS centre FROM r) SELECT clip, centre, greatest(lo, centre - {HOUR * 18}) AS start_us, least(hi, centre + {HOUR * 18}) AS end_us FROM w")
+def uniform_windows(spark, sf):
+    r = d.events(spark, sf).groupBy("clip").agg(F.min("t_us").alias("lo"), F.max("t_us").alias("hi")).where(F.col("lo") + 12 * HOUR <= F.col("hi"))
+    w = r.withColumn("centre", F.explode(F.sequence(F.col("lo") + 12 * HOUR, F.col("hi"), F.lit(24 * HOUR))))
+    return w.select("clip", "centre", F.greatest("lo", F.col("centre") - 18 * HOUR).alias("start_us"), F.least("hi", F.col("centre") + 18 * HOUR).alias("end_us"))
+
+
+@query(f"WITH {G_SQL}, q AS (SELECT clip, quantile_cont(value, 0.28) AS q28, max(value) AS top FROM g GROUP BY clip), n AS (SELECT clip, frame_idx, CASE WHEN top > 0 THEN value / top ELSE 0.0::DOUBLE END AS v, CASE WHEN top > 0 THEN least(q28 / top, 0.15::DOUBLE) ELSE 0.0::DOUBLE END AS gate FROM g JOIN q USING (clip)) SELECT clip, frame_idx, round(CASE WHEN v < gate THEN 0.0 ELSE pow(v, 0.65) END, 6) AS shape FROM n")
+def dynamics_curve(spark, sf):
+    """Level over the clip's largest, gated by its lower quantile, to the power 0.65."""
+    w = Window.partitionBy("clip")
+    g = d.grid(spark, sf).withColumn("q28", F.percentile("value", 0.28).over(w)).withColumn("top", F.max("value").over(w))
+    v, gate = (F.when(F.col("top") > 0, x).otherwise(0.0) for x in (F.try_divide("value", "top"), F.least(F.try_divide("q28", "top"), F.lit(0.15))))
+    return g.withColumn("v", v).withColumn("gate", gate).select("clip", "frame_idx", F.round(F.when(F.col("v") < F.col("gate"), 0.0).otherwise(F.pow("v", F.lit(0.65))), 6).alias("shape"))
+
+
+# Labels, rules, rows
 
 
 @query("""WITH l AS (SELECT trim(lower(p_type)) AS n FROM part), c(category, ord, label) AS (VALUES %s)
