@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..operators import folds, frames, islands, joins, metrics
+from ..operators import adaptive, folds, frames, islands, joins, metrics
 from ..session import table
 from ..streaming import tumbling
 from . import derived as d
@@ -385,6 +385,40 @@ def dynamics_curve(spark, sf):
     return g.withColumn("v", v).withColumn("gate", gate).select("clip", "frame_idx", F.round(F.when(F.col("v") < F.col("gate"), 0.0).otherwise(F.pow("v", F.lit(0.65))), 6).alias("shape"))
 
 
+@query(f"""WITH {G_SQL}, t AS (SELECT *, quantile_cont(value, 0.99) OVER (PARTITION BY clip) AS top FROM g), act AS (SELECT *, value >= 0.05::DOUBLE * top AS on_, count(*) FILTER (value >= 0.05::DOUBLE * top) OVER (PARTITION BY clip) AS n FROM t),
+q AS (SELECT clip, quantile_cont(value, 0.1) AS quiet, quantile_cont(value, 0.5) AS mid, quantile_cont(value, 0.9) AS loud FROM act WHERE on_ OR n < 8 GROUP BY clip),
+l AS (SELECT g.clip, frame_idx, quiet, mid, loud, quiet + 0.4::DOUBLE * (loud - quiet) AS split, value >= quiet + 0.4::DOUBLE * (loud - quiet) AS is_loud FROM g JOIN q USING (clip)),
+b AS (SELECT *, min(frame_idx) FILTER (is_loud) OVER (PARTITION BY clip) AS lo, max(frame_idx) FILTER (is_loud) OVER (PARTITION BY clip) AS hi FROM l),
+r AS (SELECT *, frame_idx - row_number() OVER (PARTITION BY clip, is_loud ORDER BY frame_idx) AS run FROM b WHERE frame_idx BETWEEN lo AND hi),
+k AS (SELECT clip, is_loud, count(*) AS len FROM r GROUP BY clip, is_loud, run),
+m AS (SELECT clip, count(*) FILTER (NOT is_loud AND len >= 2) AS gaps, quantile_cont(len, 0.5) FILTER (NOT is_loud AND len >= 2) AS gap_mid, quantile_cont(len, 0.5) FILTER (is_loud) AS burst_mid FROM k GROUP BY clip),
+f AS (SELECT clip, quiet, mid, loud, quiet + 0.4::DOUBLE * (loud - quiet) AS split, coalesce(loud >= 1.5::DOUBLE * greatest(quiet, 1e-12) AND gaps >= 2 AND gap_mid <= 24 AND burst_mid >= 2, false) AS rhythmic FROM q LEFT JOIN m USING (clip)),
+o AS (SELECT *, CASE WHEN loud / greatest(mid, 1e-12) >= 1.45::DOUBLE OR rhythmic THEN 'split' ELSE 'keep' END AS mode FROM f)
+SELECT clip, mode, rhythmic, round(CASE WHEN mode = 'split' THEN split ELSE greatest(0.6::DOUBLE * quiet, 0.3::DOUBLE * mid) END, 6) AS threshold FROM o""")
+def adaptive_floor(spark, sf):
+    return adaptive.adaptive_floor(d.grid(spark, sf), K, "frame_idx", "value").withColumn("threshold", F.round("threshold", 6))
+
+
+@query(f"WITH {G_SQL}, x AS (SELECT clip, max(frame_idx) AS hi, min(frame_idx) AS lo FROM g GROUP BY clip), p AS (SELECT e.event_id, e.category AS clip, CAST(round_even((e.t_us - (SELECT min(slot) FROM c) * 3600000000) / 3600000000.0::DOUBLE, 0) AS BIGINT) AS i FROM e) SELECT event_id, round(g.value, 6) AS value FROM p JOIN x ON x.clip = p.clip JOIN g ON g.clip = p.clip AND g.frame_idx = greatest(lo, least(hi, p.i))")
+def nearest_frame(spark, sf):
+    """Each event with the value of the frame nearest to it; the grid is regular, so it is found by number."""
+    e, g = d.events(spark, sf), d.grid(spark, sf)
+    start = e.agg((F.floor(F.min("t_us") / F.lit(HOUR)) * HOUR).alias("t0"))
+    ends = g.groupBy("clip").agg(F.min("frame_idx").alias("lo"), F.max("frame_idx").alias("hi"))
+    i = F.bround((F.col("t_us") - F.col("t0")) / F.lit(float(HOUR))).cast("long")
+    p = e.crossJoin(F.broadcast(start)).select("event_id", F.col("category").alias("clip"), i.alias("i")).join(ends, "clip")
+    return p.withColumn("frame_idx", F.greatest("lo", F.least("hi", "i"))).join(g, ["clip", "frame_idx"]).select("event_id", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {G_SQL}, r AS (SELECT *, frame_idx - row_number() OVER (PARTITION BY clip ORDER BY frame_idx) AS run FROM g WHERE value > 0), k AS (SELECT clip, count(*) AS len FROM r GROUP BY clip, run), a AS (SELECT clip, round(100.0::DOUBLE * count(*) FILTER (value > 0) / count(*), 4) AS active_pct, round(quantile_cont(value, 0.5) FILTER (value > 0), 6) AS median, round(avg(value) FILTER (value > 0), 6) AS mean FROM g GROUP BY clip), n AS (SELECT clip, count(*) AS runs, max(len) AS longest FROM k GROUP BY clip) SELECT * FROM a JOIN n USING (clip)")
+def track_summary(spark, sf):
+    g = d.grid(spark, sf)
+    on = F.when(F.col("value") > 0, F.col("value"))
+    a = g.groupBy("clip").agg(F.round(F.lit(100.0) * F.count(on) / F.count(F.lit(1)), 4).alias("active_pct"), F.round(F.percentile(on, 0.5), 6).alias("median"), F.round(F.avg(on), 6).alias("mean"))
+    runs = islands.flag_runs(g, K, "frame_idx", F.col("value") > 0).groupBy("clip", "run").agg(F.count(F.lit(1)).alias("len"))
+    return a.join(runs.groupBy("clip").agg(F.count(F.lit(1)).alias("runs"), F.max("len").alias("longest")), "clip")
+
+
 # Labels, rules, rows
 
 

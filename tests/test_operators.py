@@ -109,3 +109,39 @@ def test_every_query_runs(spark):
     for name, q in catalog.queries().items():
         assert q(spark, SF).columns, name
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_adaptive_floor_splits_a_rhythm(spark):
+    from eventspan.operators import adaptive
+
+    rhythm = ([1.0] * 4 + [0.6] * 4) * 6
+    lull = [1.0] * 20 + [0.6] * 4 + [1.0] * 20
+    for values, mode in ((rhythm, "split"), (lull, "keep")):
+        got = adaptive.adaptive_floor(series(spark, values), ["clip"], "frame_idx", "value").first()
+        assert got["mode"] == mode, got
+
+
+def test_wav_round_trip(spark, tmp_path):
+    import numpy as np
+
+    from eventspan.sources import wav
+
+    x = np.sin(np.arange(10_000) / 9).astype(np.float32) * 0.5
+    (tmp_path / "a.wav").write_bytes(wav.encode(x, 8000))
+    rows = wav.read_wav(spark, str(tmp_path), 4096).orderBy("block_id").collect()
+    assert [r.sr for r in rows] == [8000] * 3
+    assert np.abs(np.concatenate([r.samples for r in rows]) - x).max() < 1e-3
+
+
+def test_config():
+    from eventspan import config
+
+    base = {"detector": {"name": "a", "params": {"x": 1}}, "generators": ["g", {"name": "h", "params": {"y": 2}}], "synthesis": {"continuous": {}}}
+    p = config.pipeline(base, {"detector": {"params": {"z": 3}}, "generators": ["k"]})
+    assert p.detector.params == {"x": 1, "z": 3} and [c.name for c in p.generators] == ["k"]
+    assert config.pipeline(base, {"detector": {"name": "b"}}).detector == config.Component("b")
+    assert config.pipeline(base, {"detector": None}).detector is None
+    with pytest.raises(ValueError, match="unknown"):
+        config.pipeline(base, {"synthesis": {"nope": 1}})
+    with pytest.raises(ValueError, match="there are"):
+        config.Registry().make(config.Component("missing"))
