@@ -392,8 +392,8 @@ b AS (SELECT *, min(frame_idx) FILTER (is_loud) OVER (PARTITION BY clip) AS lo,
 r AS (SELECT *, frame_idx - row_number() OVER (PARTITION BY clip, is_loud ORDER BY frame_idx) AS run FROM b WHERE frame_idx BETWEEN lo AND hi),
 k AS (SELECT clip, is_loud, count(*) AS len FROM r GROUP BY clip, is_loud, run),
 m AS (SELECT clip, count(*) FILTER (NOT is_loud AND len >= 2) AS gaps, quantile_cont(len, 0.5) FILTER (NOT is_loud AND len >= 2) AS gap_mid, quantile_cont(len, 0.5) FILTER (is_loud) AS burst_mid FROM k GROUP BY clip),
-f AS (SELECT clip, quiet, mid, loud, quiet + 0.4::DOUBLE * (loud - quiet) AS split, coalesce(loud >= 1.5::DOUBLE * greatest(quiet, 1e-12) AND gaps >= 2 AND gap_mid <= 24 AND burst_mid >= 2, false) AS rhythmic FROM q LEFT JOIN m USING (clip)),
-o AS (SELECT *, CASE WHEN loud / greatest(mid, 1e-12) >= 1.45::DOUBLE OR rhythmic THEN 'split' ELSE 'keep' END AS mode FROM f)
+fl AS (SELECT clip, quiet, mid, loud, quiet + 0.4::DOUBLE * (loud - quiet) AS split, coalesce(loud >= 1.5::DOUBLE * greatest(quiet, 1e-12) AND gaps >= 2 AND gap_mid <= 24 AND burst_mid >= 2, false) AS rhythmic FROM q LEFT JOIN m USING (clip)),
+o AS (SELECT *, CASE WHEN loud / greatest(mid, 1e-12) >= 1.45::DOUBLE OR rhythmic THEN 'split' ELSE 'keep' END AS mode FROM fl)
 SELECT clip, mode, rhythmic, round(CASE WHEN mode = 'split' THEN split ELSE greatest(0.6::DOUBLE * quiet, 0.3::DOUBLE * mid) END, 6) AS threshold FROM o""")
 def adaptive_floor(spark, sf):
     return adaptive.adaptive_floor(d.grid(spark, sf), K, "frame_idx", "value").withColumn("threshold", F.round("threshold", 6))
