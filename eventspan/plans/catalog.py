@@ -488,6 +488,50 @@ def peak_normalize(spark, sf):
     return d.grid(spark, sf).select("clip", "frame_idx", F.round(F.when(top > 0, F.col("value") / top * 0.9).otherwise(F.col("value")), 6).alias("value"))
 
 
+@query(f"WITH {G_SQL}, x AS (SELECT DISTINCT category AS clip, unnest(range(t_us // {HOUR} - (SELECT min(slot) FROM c), (t_us + cents * 60000) // {HOUR} - (SELECT min(slot) FROM c) + 1)) AS frame_idx FROM e WHERE cents > 20000) SELECT clip, frame_idx, round(CASE WHEN x.clip IS NULL THEN 0.0 ELSE value END, 6) AS value FROM g LEFT JOIN x USING (clip, frame_idx)")
+def gated_signal(spark, sf):
+    """The signal under spans of its clip, 0 elsewhere: spans are dealt to frames, so the gate is a join by frame."""
+    e, g = d.events(spark, sf), d.grid(spark, sf)
+    hour = lambda c: F.floor(c / F.lit(HOUR)).cast("long")
+    start = e.agg(hour(F.min("t_us")).alias("h0"))
+    spans = e.where("cents > 20000").crossJoin(F.broadcast(start))
+    mask = spans.select(F.col("category").alias("clip"), F.explode(F.sequence(hour(F.col("t_us")) - F.col("h0"), hour(F.col("t_us") + F.col("cents") * 60000) - F.col("h0"))).alias("frame_idx")).distinct()
+    on = g.join(mask.withColumn("on", F.lit(True)), ["clip", "frame_idx"], "left")
+    return on.select("clip", "frame_idx", F.round(F.when(F.col("on"), F.col("value")).otherwise(0.0), 6).alias("value"))
+
+
+@query(f"WITH {G_SQL}, k AS (SELECT clip, frame_idx, value AS v, CASE WHEN frame_idx % 4 = 0 THEN value END AS kv, CASE WHEN frame_idx % 4 = 0 THEN frame_idx END AS ki FROM g), n AS (SELECT clip, frame_idx, last_value(kv IGNORE NULLS) OVER b AS v0, last_value(ki IGNORE NULLS) OVER b AS i0, first_value(kv IGNORE NULLS) OVER f AS v1, first_value(ki IGNORE NULLS) OVER f AS i1 FROM k WINDOW b AS (PARTITION BY clip ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY clip ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT clip, frame_idx, round(CASE WHEN i1 IS NULL OR i1 = i0 THEN v0 ELSE v0 + (v1 - v0) * (frame_idx - i0) / (i1 - i0) END, 6) AS value FROM n")
+def interpolate_curve(spark, sf):
+    """Straight lines between every fourth frame; after the last of them its value."""
+    w = Window.partitionBy("clip").orderBy("frame_idx")
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    knot = F.when(F.col("frame_idx") % 4 == 0, F.struct(F.col("frame_idx").alias("i"), F.col("value").alias("v")))
+    n = d.grid(spark, sf).withColumn("k", knot).withColumn("a", F.last("k", True).over(back)).withColumn("b", F.first("k", True).over(ahead))
+    flat = F.col("b").isNull() | (F.col("a.i") == F.col("b.i"))
+    line = F.col("a.v") + (F.col("b.v") - F.col("a.v")) * (F.col("frame_idx") - F.col("a.i")) / F.when(~flat, F.col("b.i") - F.col("a.i"))
+    return n.select("clip", "frame_idx", F.round(F.when(flat, F.col("a.v")).otherwise(line), 6).alias("value"))
+
+
+@query(f"WITH {G_SQL}, l AS (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b FROM g WINDOW w AS (PARTITION BY clip ORDER BY frame_idx)), k AS (SELECT * FROM l WHERE value >= a AND value >= b AND value > 0), h AS (SELECT e.event_id, k.frame_idx, k.value, max(k.value) OVER (PARTITION BY e.event_id) AS top FROM e JOIN k ON k.clip = e.category AND abs(k.frame_idx - (e.t_us // {HOUR} - (SELECT min(slot) FROM c))) <= 3 WHERE e.cents > 15000) SELECT event_id, min(frame_idx) AS attack_idx, round(max(top), 6) AS loudest FROM h WHERE value >= 0.65::DOUBLE * top GROUP BY event_id")
+def snap_to_attack(spark, sf):
+    """Each strong event at the earliest local maximum near it that has at least 0.65 of the loudest one's level."""
+    w = Window.partitionBy("clip").orderBy("frame_idx")
+    g = d.grid(spark, sf).withColumn("a", F.lag("value").over(w)).withColumn("b", F.lead("value").over(w))
+    peaks = g.where("value >= a AND value >= b AND value > 0").select("clip", F.col("frame_idx").alias("p_idx"), "value")
+    e = d.events(spark, sf)
+    hour = lambda c: F.floor(c / F.lit(HOUR)).cast("long")
+    at = e.where("cents > 15000").crossJoin(F.broadcast(e.agg(hour(F.min("t_us")).alias("h0")))).select("event_id", F.col("category").alias("clip"), (hour(F.col("t_us")) - F.col("h0")).alias("f_idx"))
+    near = joins.band_join(at, peaks, K, "f_idx", "p_idx", 3).withColumn("top", F.max("value").over(Window.partitionBy("event_id")))
+    return near.where(F.col("value") >= F.lit(0.65) * F.col("top")).groupBy("event_id").agg(F.min("p_idx").alias("attack_idx"), F.round(F.max("top"), 6).alias("loudest"))
+
+
+@query(f"WITH {E_SQL}, l AS (SELECT *, lag(t_us) OVER (PARTITION BY clip ORDER BY t_us) AS last FROM e), c AS (SELECT *, sum(CASE WHEN t_us - last <= {3 * HOUR} THEN 0 ELSE 1 END) OVER (PARTITION BY clip ORDER BY t_us ROWS UNBOUNDED PRECEDING) AS isl FROM l) SELECT clip, min(t_us) AS start_us, max(t_us) + {3 * HOUR} AS end_us, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM c GROUP BY clip, isl")
+def session_clusters(spark, sf):
+    e = d.events(spark, sf).withColumn("at", F.timestamp_micros("t_us"))
+    s = e.groupBy("clip", F.session_window("at", "3 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
+    return s.select("clip", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "n", "cents")
+
+
 @query(f"SELECT event_type AS category, epoch_us(ts) // {HOUR} AS hour, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL")
 def stream_tumbling(spark, sf):
     return tumbling.hourly_totals(spark, sf)
