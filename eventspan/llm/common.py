@@ -81,3 +81,10 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
+
+
+def map_texts(rows: DataFrame, run, schema: str) -> DataFrame:
+    """rows.mapInPandas(run, schema) for rows whose doc_id is passed through. It travels as text: pandas would turn numbers among
+    nulls into floating point and so change large ones."""
+    out = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, schema.replace("doc_id long", "doc_id string", 1))
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, map_texts
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -160,7 +160,7 @@ def predict(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_c
                 flush()
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": lang, "score": score})
 
-    return rows.mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return map_texts(rows, run, "doc_id long, lang_pred string, score double")
 
 
 def language(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, cut, frees_shuffles, new_path
+from .common import SALTS, cut, frees_shuffles, map_texts, new_path
 
 UNIT = 576
 LEAST, MOST, CUT_BITS = 2048, 32768, 12
@@ -92,7 +92,7 @@ def manifests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": pd.Series([r[0] for r in rows], dtype="int64"), "payload": [r[1] for r in rows], "digests": [r[2] for r in rows]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_bytes long, payload binary, digests array<binary>")
+    return map_texts(rows, run, "doc_id long, n_bytes long, payload binary, digests array<binary>")
 
 
 def write_chunks(docs: DataFrame, path: str, buckets: int, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> str:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_shared
+from .common import cut, join_shared, map_texts
 from .components import components
 
 BITS, MOST = 64, 4
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pd.DataFrame({"doc_id": batch["doc_id"], "h": batch["h"], "fp": fp.view(np.int64)})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, h long, fp long")
+    return map_texts(rows, run, "doc_id long, h long, fp long")
 
 
 def segments(fp: np.ndarray) -> np.ndarray:

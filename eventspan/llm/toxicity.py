@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut
+from .common import crc_mod, cut, map_texts
 
 #: Bounds of the fit; scoring has none.
 MAX_FIT_ROWS = 20_000
@@ -246,7 +246,7 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(keep or []), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in extra.schema)
-    return rows.mapInPandas(run, f"doc_id long, {kinds}score double, predicted int, evidence array<long>, similarity array<double>")
+    return map_texts(rows, run, f"doc_id long, {kinds}score double, predicted int, evidence array<long>, similarity array<double>")
 
 
 def reject(docs: DataFrame, index: Index, text_col: str = "text", limit: float = 0.5) -> DataFrame:
