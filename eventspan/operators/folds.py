@@ -35,8 +35,8 @@ def fold_sorted(df: DataFrame, keys: list[str], order: list[Column], fold: Calla
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, df.schema)
 
 
-def greedy_spacing(df: DataFrame, keys: list[str], t: str, strength: str, spacing: int) -> DataFrame:
-    """Strongest first (the earlier of equals), rows at least `spacing` away from all kept ones are kept."""
+def greedy_spacing(df: DataFrame, keys: list[str], t: str, strength: str, spacing: int, later: bool = False) -> DataFrame:
+    """Strongest first (the earlier of equals, or the later), rows at least `spacing` away from all kept ones are kept."""
     at = df.columns.index(t)
 
     def fold():
@@ -52,7 +52,7 @@ def greedy_spacing(df: DataFrame, keys: list[str], t: str, strength: str, spacin
 
         return step, list
 
-    return fold_sorted(df, keys, [F.desc(strength), F.asc(t)], fold)
+    return fold_sorted(df, keys, [F.desc(strength), F.desc(t) if later else F.asc(t)], fold)
 
 
 def dedupe_by_peak(df: DataFrame, keys: list[str], t: str, strength: str, margin: int) -> DataFrame:
@@ -76,25 +76,47 @@ def dedupe_by_peak(df: DataFrame, keys: list[str], t: str, strength: str, margin
     return fold_sorted(df, keys, [F.asc(t), F.desc(strength)], fold)
 
 
-def one_to_one(refs: DataFrame, dets: DataFrame, key: str, ref_t: str, det_t: str, collar: int) -> DataFrame:
-    """key, ref_t, det_t: references in time order each take the nearest unused detection within the collar, the earlier of
-    equals; det_t is null for a miss."""
+NONE = -(2**63)
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        times = sorted(b[det_t].tolist())
-        used: set[int] = set()
-        rows = []
-        for r in sorted(a[ref_t].tolist()):
-            best = None
-            for j in range(bisect_left(times, r - collar), len(times)):
-                if times[j] > r + collar:
+
+def one_to_one(refs: DataFrame, dets: DataFrame, key: str, ref_t: str, det_t: str, collar: int, later: bool = False) -> DataFrame:
+    """key, ref_t, det_t: references in time order each take the nearest unused detection within the collar, the earlier (or the
+    later) of equals; det_t is null for a miss. Both come as one stream by time: a reference is settled once the stream has
+    passed its collar, so only the times within a collar or two are held."""
+    r = refs.select(key, F.col(ref_t).alias("t"), F.lit(1).alias("ref"), F.lit(NONE).alias("det"))
+    both = r.unionByName(dets.select(key, F.col(det_t).alias("t"), F.lit(0).alias("ref"), F.lit(NONE).alias("det")))
+    names = both.columns
+    k, t, is_ref = names.index(key), names.index("t"), names.index("ref")
+
+    def fold():
+        free: list[int] = []
+        waiting: list[tuple] = []
+
+        def settle(row):
+            at, best = row[t], None
+            for j in range(bisect_left(free, at - collar), len(free)):
+                far = abs(free[j] - at)
+                if free[j] > at + collar:
                     break
-                if j not in used and (best is None or abs(times[j] - r) < abs(times[best] - r)):
+                if best is None or far < abs(free[best] - at) or (later and far == abs(free[best] - at)):
                     best = j
-            if best is not None:
-                used.add(best)
-            rows.append((a[key].iloc[0], r, times[best] if best is not None else None))
-        return pd.DataFrame({key: [x[0] for x in rows], ref_t: [x[1] for x in rows], det_t: pd.Series([x[2] for x in rows], dtype="Int64")})
+            return (row[k], at, 1, free.pop(best) if best is not None else NONE)
+
+        def step(row):
+            done = 0
+            while done < len(waiting) and waiting[done][t] + collar < row[t]:
+                done += 1
+            out = [settle(x) for x in waiting[:done]]
+            del waiting[:done]
+            first = waiting[0][t] if waiting else row[t]
+            del free[: bisect_left(free, first - collar)]
+            if row[is_ref]:
+                waiting.append(row)
+            else:
+                free.append(row[t])
+            return out
+
+        return step, lambda: [settle(x) for x in waiting]
 
-    kind = dict(refs.dtypes)[key]
-    return refs.groupBy(key).cogroup(dets.groupBy(key)).applyInPandas(run, f"{key} {kind}, {ref_t} long, {det_t} long")
+    out = fold_sorted(both, [key], [F.asc("t"), F.asc("ref")], fold)
+    return out.select(key, F.col("t").alias(ref_t), F.when(F.col("det") != NONE, F.col("det")).alias(det_t))
