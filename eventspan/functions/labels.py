@@ -16,6 +16,39 @@ CATEGORIES = [
 # Names a scene reply may use.
 SCENES = ["gunshot", "explosion", "smash", "car_crash", "vehicle", "engine_start"]
 
+# Parts of labels that tell sudden from lasting sounds and sights.
+SUDDEN_AUDIO = ["thunder", "explosion", "gunshot", "gunfire", "machine gun", "fireworks", "bang", "boom", "artillery", "fusillade", "cap gun"]
+SUDDEN_VIDEO = ["shooting", "explod", "fire", "smash", "hit", "crash"]
+LASTING_AUDIO = ["vehicle", "engine", "truck", "motor vehicle", "idling", "tank", "rain", "wind", "storm"]
+LASTING_VIDEO = ["driving", "motorcycl", "riding"]
+
+
+def keyword_class(label: Column, modality: Column) -> Column:
+    """'sudden' before 'lasting', by the modality's words; null for neither."""
+    has = lambda words: F.lower(label).rlike("|".join(words))
+    audio = modality == "audio"
+    return F.when(F.when(audio, has(SUDDEN_AUDIO)).otherwise(has(SUDDEN_VIDEO)), "sudden").when(F.when(audio, has(LASTING_AUDIO)).otherwise(has(LASTING_VIDEO)), "lasting")
+
+
+def sample_fps(start: Column, end: Column, most: int, shortest: float) -> Column:
+    """Frames a second for a scene: more for short ones, never more than `most` frames in all."""
+    length = F.greatest(end - start, F.lit(shortest))
+    return F.round(F.least(F.when(length <= 4, 8.0).when(length <= 8, 4.0).otherwise(2.0), F.lit(float(most)) / length), 2)
+
+
+def look_window(start: Column, end: Column, duration: Column, shortest: float) -> Column:
+    """Struct of start and end: a window shorter than `shortest` grows around its middle and stays inside the clip."""
+    grown = F.greatest(F.lit(0.0), start - (F.lit(shortest) - (end - start)) / 2)
+    over = grown + shortest > duration
+    a = F.when(over, F.greatest(F.lit(0.0), duration - shortest)).otherwise(grown)
+    b = F.when(over, duration).otherwise(grown + shortest)
+    long_ = end - start >= shortest
+    return F.struct(F.when(long_, start).otherwise(a).alias("start"), F.when(long_, end).otherwise(b).alias("end"))
+
+
+def prediction_label(x: Column) -> Column:
+    return F.regexp_replace(x, "^LABEL_", "")
+
 
 def normalize_label(x: Column) -> Column:
     return F.regexp_replace(F.trim(F.lower(x)), r"\s+", " ")

@@ -76,6 +76,30 @@ def dedupe_by_peak(df: DataFrame, keys: list[str], t: str, strength: str, margin
     return fold_sorted(df, keys, [F.asc(t), F.desc(strength)], fold)
 
 
+def merge_windows(df: DataFrame, keys: list[str], start: str, end: str, centre: str, score: str, gap: int, apart: int) -> DataFrame:
+    """Windows by start: one that begins within `gap` of the current one's end joins it, unless their centres are `apart` or
+    more. The stronger one's centre and score stay, the earlier of equals. Other columns are those of the first member."""
+    s, e, c, v = (df.columns.index(x) for x in (start, end, centre, score))
+
+    def fold():
+        held: list[list] = []
+
+        def step(row):
+            if held and row[s] <= held[0][e] + gap and row[c] - held[0][c] < apart:
+                now = held[0]
+                now[e] = max(now[e], row[e])
+                if row[v] > now[v]:
+                    now[c], now[v] = row[c], row[v]
+                return []
+            out = [tuple(x) for x in held]
+            held[:] = [list(row)]
+            return out
+
+        return step, lambda: [tuple(x) for x in held]
+
+    return fold_sorted(df, keys, [F.asc(start), F.asc(centre), F.desc(score)], fold)
+
+
 NONE = -(2**63)
 
 

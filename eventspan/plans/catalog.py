@@ -9,28 +9,10 @@ from ..functions import labels
 from ..operators import adaptive, folds, frames, islands, joins, metrics
 from ..session import table
 from ..streaming import tumbling
+from . import calibration, gating, picture, rendering, rows  # noqa: F401  (they register their queries)
 from . import derived as d
-from .derived import E_SQL, G_SQL, HOUR, MINUTE, P_SQL, S_SQL, V_SQL, smooth_sql
-
-FOUND: dict[str, tuple] = {}
-K = ["clip"]
-
-
-def query(sql: str | None = None):
-    def add(f):
-        FOUND[f.__name__] = (f, sql)
-        return f
-
-    return add
-
-
-def queries() -> dict:
-    return {k: v[0] for k, v in FOUND.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {k: v[1] for k, v in FOUND.items() if v[1]}
-
+from .derived import ADAPTIVE_SQL, E_SQL, G_SQL, HOUR, MINUTE, P_SQL, S_SQL, V_SQL, smooth_sql
+from .registry import K, oracle_sql, queries, query  # noqa: F401
 
 # Frames
 
@@ -385,17 +367,6 @@ def dynamics_curve(spark, sf):
     return g.withColumn("v", v).withColumn("gate", gate).select("clip", "frame_idx", F.round(F.when(F.col("v") < F.col("gate"), 0.0).otherwise(F.pow("v", F.lit(0.65))), 6).alias("shape"))
 
 
-ADAPTIVE_SQL = """t AS (SELECT *, quantile_cont(value, 0.99) OVER (PARTITION BY clip) AS top FROM g), act AS (SELECT *, value >= 0.05::DOUBLE * top AS on_, count(*) FILTER (value >= 0.05::DOUBLE * top) OVER (PARTITION BY clip) AS n FROM t),
-q AS (SELECT clip, quantile_cont(value, 0.1) AS quiet, quantile_cont(value, 0.5) AS mid, quantile_cont(value, 0.9) AS loud FROM act WHERE on_ OR n < 8 GROUP BY clip),
-l AS (SELECT g.clip, frame_idx, quiet, mid, loud, quiet + 0.4::DOUBLE * (loud - quiet) AS split, value >= quiet + 0.4::DOUBLE * (loud - quiet) AS is_loud FROM g JOIN q USING (clip)),
-b AS (SELECT *, min(frame_idx) FILTER (is_loud) OVER (PARTITION BY clip) AS lo, max(frame_idx) FILTER (is_loud) OVER (PARTITION BY clip) AS hi FROM l),
-r AS (SELECT *, frame_idx - row_number() OVER (PARTITION BY clip, is_loud ORDER BY frame_idx) AS run FROM b WHERE frame_idx BETWEEN lo AND hi),
-k AS (SELECT clip, is_loud, count(*) AS len FROM r GROUP BY clip, is_loud, run),
-m AS (SELECT clip, count(*) FILTER (NOT is_loud AND len >= 2) AS gaps, quantile_cont(len, 0.5) FILTER (NOT is_loud AND len >= 2) AS gap_mid, quantile_cont(len, 0.5) FILTER (is_loud) AS burst_mid FROM k GROUP BY clip),
-fl AS (SELECT clip, quiet, mid, loud, quiet + 0.4::DOUBLE * (loud - quiet) AS split, coalesce(loud >= 1.5::DOUBLE * greatest(quiet, 1e-12) AND gaps >= 2 AND gap_mid <= 24 AND burst_mid >= 2, false) AS rhythmic FROM q LEFT JOIN m USING (clip)),
-o AS (SELECT *, CASE WHEN loud / greatest(mid, 1e-12) >= 1.45::DOUBLE OR rhythmic THEN 'split' ELSE 'keep' END AS mode FROM fl)"""
-
-
 @query(f"WITH {G_SQL}, {ADAPTIVE_SQL} SELECT clip, mode, rhythmic, round(CASE WHEN mode = 'split' THEN split ELSE greatest(0.6::DOUBLE * quiet, 0.3::DOUBLE * mid) END, 6) AS threshold FROM o")
 def adaptive_floor(spark, sf):
     return adaptive.adaptive_floor(d.grid(spark, sf), K, "frame_idx", "value").withColumn("threshold", F.round("threshold", 6))
@@ -537,6 +508,3 @@ def session_clusters(spark, sf):
 @query(f"SELECT event_type AS category, epoch_us(ts) // {HOUR} AS hour, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL")
 def stream_tumbling(spark, sf):
     return tumbling.hourly_totals(spark, sf)
-
-
-from . import calibration, gating, picture, rendering, rows  # noqa: E402, F401  (they register their queries)

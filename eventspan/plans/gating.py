@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import adaptive, frames, loud
 from . import derived as d
-from .catalog import ADAPTIVE_SQL, K, query
-from .derived import G_SQL, HOUR, smooth_sql
+from .derived import ADAPTIVE_SQL, G_SQL, HOUR, smooth_sql
+from .registry import K, query
 
 SMOOTH_SQL = f"{G_SQL}, {smooth_sql('g', 'value', 2, 'quantile_cont(v, 0.5)')}"
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import folds, picture
 from . import derived as d
-from .catalog import K, query
 from .derived import G_SQL, V_SQL
 from .gating import event_frames, event_frames_sql
+from .registry import K, query
 
 FLASH_SQL = f"""{G_SQL},
 fr AS (SELECT *, value - coalesce(lag(value) OVER w, value) AS rise, lead(value) OVER w AS nxt FROM g WINDOW w AS (PARTITION BY clip ORDER BY frame_idx)),
