@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import joins, loud, promote
+from ..operators import folds, frames, islands, joins, loud, promote
 from . import derived as d
-from .derived import G_SQL
+from .derived import G_SQL, P_SQL, smooth_sql
 from .gating import SMOOTH_SQL, event_frames, event_frames_sql, islands_sql, smooth
 from .picture import FLASH_SQL, flash_rows
 from .registry import K, query
@@ -143,3 +143,44 @@ def promote_transients(spark, sf):
     p = promote.near_flag(p, known, K, "frame_idx", id_, 6, "seeded")
     p = p.withColumn("rule", promote.backed(v, F.col("sharp"), F.col("ref"), F.col("scored"), F.col("volley"), F.col("seeded")))
     return promote.promote(p, known, K, "frame_idx", 2).select("clip", "frame_idx", "rule", F.round("sharp", 4).alias("sharpness"))
+
+
+@query(f"""WITH {P_SQL}, {smooth_sql('p', 'score', 2, 'quantile_cont(v, 0.5)')},
+hl AS (SELECT *, frame_idx - row_number() OVER (PARTITION BY clip ORDER BY frame_idx) AS run FROM m WHERE sv >= 0.4::DOUBLE),
+hs AS (SELECT clip, run, min(frame_idx) AS a, max(frame_idx) AS b, max(sv) AS top FROM hl GROUP BY clip, run HAVING max(sv) >= 0.55::DOUBLE AND max(frame_idx) - min(frame_idx) >= 4),
+nb AS (SELECT *, lag(sv) OVER w AS l, lead(sv) OVER w AS r FROM m WINDOW w AS (PARTITION BY clip ORDER BY frame_idx)),
+pk AS (SELECT hs.clip, a, b, frame_idx, sv FROM hs JOIN nb ON nb.clip = hs.clip AND frame_idx BETWEEN a AND b WHERE sv > l AND sv >= r AND sv >= 0.6::DOUBLE * top),
+ks AS (SELECT clip, a, b, list_reduce(list([frame_idx] ORDER BY sv DESC, frame_idx), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: abs(y - x[1]) < 3)) > 0 THEN acc ELSE list_concat(acc, x) END) AS kept FROM pk GROUP BY ALL)
+SELECT clip, a AS first_idx, b AS last_idx, unnest(kept) AS peak_idx FROM ks WHERE len(kept) > 1""")
+def peak_split(spark, sf):
+    """Long segments of a curve with more than one peak: strict rises of 0.6 of the segment's top, spaced."""
+    w = Window.partitionBy("clip").orderBy("frame_idx")
+    m = frames.median_smooth(d.scores(spark, sf), K, "frame_idx", "score", 5)
+    seg = islands.hysteresis(m, K, "frame_idx", "smooth", 0.55, 0.4).where("last_idx - first_idx >= 4")
+    v = F.col("smooth")
+    rising = m.withColumn("l", F.lag("smooth").over(w)).withColumn("r", F.lead("smooth").over(w)).where((v > F.col("l")) & (v >= F.col("r"))).select("clip", "frame_idx", "smooth")
+    at = seg.select("clip", "first_idx", "last_idx", "peak", F.explode(F.sequence("first_idx", "last_idx")).alias("frame_idx"))
+    peaks = at.join(rising, ["clip", "frame_idx"]).where(v >= F.lit(0.6) * F.col("peak"))
+    kept = folds.greedy_spacing(peaks, ["clip", "first_idx"], "frame_idx", "smooth", 3)
+    n = F.count(F.lit(1)).over(Window.partitionBy("clip", "first_idx"))
+    return kept.withColumn("n", n).where("n > 1").select("clip", "first_idx", "last_idx", F.col("frame_idx").alias("peak_idx"))
+
+
+@query(f"""WITH {G_SQL}, {event_frames_sql(5000)}, pr AS (SELECT event_id, clip, at_idx, cents / 60000.0::DOUBLE AS conf FROM ef WHERE event_id % 5 = 0),
+au AS (SELECT pr.event_id, max(ef.cents) / 60000.0::DOUBLE AS s FROM pr JOIN ef ON ef.clip = pr.clip AND ef.event_id % 5 IN (1, 2) AND abs(ef.at_idx - pr.at_idx) <= 1 GROUP BY ALL),
+vi AS (SELECT pr.event_id, max(ef.cents) / 60000.0::DOUBLE AS s FROM pr JOIN ef ON ef.clip = pr.clip AND ef.event_id % 5 IN (3, 4) AND abs(ef.at_idx - pr.at_idx) <= 1 GROUP BY ALL),
+sc AS (SELECT pr.*, greatest(conf, 0.65::DOUBLE * coalesce(au.s, 0.0::DOUBLE) + 0.35::DOUBLE * coalesce(vi.s, 0.0::DOUBLE)) AS score FROM pr LEFT JOIN au USING (event_id) LEFT JOIN vi USING (event_id)),
+fd AS (SELECT clip, list_reduce(list([[at_idx::DOUBLE, score]] ORDER BY at_idx, score DESC), lambda acc, x: CASE WHEN x[1][1] - acc[-1][1] <= 1 THEN CASE WHEN x[1][2] > acc[-1][2] THEN list_concat(acc[1:len(acc) - 1], x) ELSE acc END ELSE list_concat(acc, x) END) AS l FROM sc WHERE score >= 0.3::DOUBLE GROUP BY clip),
+u AS (SELECT clip, unnest(l) AS w FROM fd) SELECT clip, CAST(w[1] AS BIGINT) AS at_idx, round(w[2], 6) AS score FROM u""")
+def late_fusion(spark, sf):
+    """Proposals scored by themselves or by the best audio and video scores near them, over a threshold, then deduped by peak."""
+    ev = event_frames(spark, sf, 5000)
+    props = ev.where("event_id % 5 = 0").select("event_id", "clip", "at_idx", (F.col("cents") / 60000.0).alias("conf"))
+    for name, kinds in (("au", (1, 2)), ("vi", (3, 4))):
+        near = ev.where((F.col("event_id") % 5).isin(*kinds)).select("clip", F.col("at_idx").alias("s_idx"), F.col("cents").alias("s_cents"))
+        best = joins.band_join(props.select("event_id", "clip", "at_idx"), near, K, "at_idx", "s_idx", 1).groupBy("event_id").agg((F.max("s_cents") / 60000.0).alias(name))
+        props = props.join(best, "event_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    score = F.greatest("conf", F.lit(0.65) * zero("au") + F.lit(0.35) * zero("vi"))
+    kept = folds.dedupe_by_peak(props.select("clip", "at_idx", score.alias("score")).where("score >= 0.3D"), K, "at_idx", "score", 1)
+    return kept.select("clip", "at_idx", F.round("score", 6).alias("score"))

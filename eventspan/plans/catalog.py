@@ -498,7 +498,10 @@ def snap_to_attack(spark, sf):
     return near.where(F.col("value") >= F.lit(0.65) * F.col("top")).groupBy("event_id").agg(F.min("p_idx").alias("attack_idx"), F.round(F.max("top"), 6).alias("loudest"))
 
 
-@query(f"WITH {E_SQL}, l AS (SELECT *, lag(t_us) OVER (PARTITION BY clip ORDER BY t_us) AS last FROM e), c AS (SELECT *, sum(CASE WHEN t_us - last <= {3 * HOUR} THEN 0 ELSE 1 END) OVER (PARTITION BY clip ORDER BY t_us ROWS UNBOUNDED PRECEDING) AS isl FROM l) SELECT clip, min(t_us) AS start_us, max(t_us) + {3 * HOUR} AS end_us, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM c GROUP BY clip, isl")
+SESSION_SQL = f"WITH {E_SQL}, l AS (SELECT *, lag(t_us) OVER (PARTITION BY clip ORDER BY t_us) AS last FROM e), c AS (SELECT *, sum(CASE WHEN t_us - last <= {3 * HOUR} THEN 0 ELSE 1 END) OVER (PARTITION BY clip ORDER BY t_us ROWS UNBOUNDED PRECEDING) AS isl FROM l) SELECT clip, min(t_us) AS start_us, max(t_us) + {3 * HOUR} AS end_us, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM c GROUP BY clip, isl"
+
+
+@query(SESSION_SQL)
 def session_clusters(spark, sf):
     e = d.events(spark, sf).withColumn("at", F.timestamp_micros("t_us"))
     s = e.groupBy("clip", F.session_window("at", "3 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
@@ -508,3 +511,8 @@ def session_clusters(spark, sf):
 @query(f"SELECT event_type AS category, epoch_us(ts) // {HOUR} AS hour, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL")
 def stream_tumbling(spark, sf):
     return tumbling.hourly_totals(spark, sf)
+
+
+@query(SESSION_SQL)
+def stream_sessions(spark, sf):
+    return tumbling.sessions(spark, sf)

@@ -1,4 +1,4 @@
-"""Tumbling windows over a stream of event files."""
+"""Windows and sessions over a stream of event files."""
 
 from __future__ import annotations
 
@@ -7,18 +7,49 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
-def hourly_totals(spark: SparkSession, folder: str, files: str = "events*.parquet", late: str = "1 hour") -> DataFrame:
-    """category, hour, n, cents: every such file of the folder once, watermarked, in the order it comes. Runs until all files that are
-    there are read; a job that goes on takes the same plan with a processing-time trigger and an append sink."""
+def event_stream(spark: SparkSession, folder: str, files: str, late: str) -> DataFrame:
+    """clip, category, at, cents of every such file of the folder, in the order the files come, watermarked."""
     schema = spark.read.option("pathGlobFilter", files).parquet(folder).schema
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", "64").option("pathGlobFilter", files).parquet(folder)
-    rows = rows.select(F.col("event_type").alias("category"), F.col("ts").cast("timestamp").alias("at"), F.round(F.col("value") * 100).cast("long").alias("cents"))
-    totals = rows.withWatermark("at", late).groupBy("category", F.window("at", "1 hour")).agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="eventspan-stream-")
-    name = "hourly_" + uuid.uuid4().hex
-    query = totals.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base.rstrip('/')}/{name}").trigger(availableNow=True).start()
+    rows = rows.select(F.col("user_id").alias("clip"), F.col("event_type").alias("category"), F.col("ts").cast("timestamp").alias("at"), F.round(F.col("value") * 100).cast("long").alias("cents"))
+    return rows.withWatermark("at", late)
+
+
+def drain(spark: SparkSession, rows: DataFrame, keys: list[str], mode: str) -> DataFrame:
+    """Runs until all files that are there are read; the newest row of each key (update) or the last batch (complete).
+
+    Each batch is written to a folder of its own in the shared place, so a batch that is run again after a loss replaces itself.
+    A job that goes on takes the same writer with a processing-time trigger.
+    """
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="eventspan-stream-")).rstrip("/")
+    at = f"{base}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={n}")
+
+    query = rows.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()
+    out = spark.read.schema(StructType([*rows.schema.fields, StructField("batch", LongType())])).parquet(f"{at}/rows")
+    if mode == "complete":
+        return out.join(F.broadcast(out.agg(F.max("batch").alias("batch"))), "batch", "left_semi").drop("batch")
+    rest = [c for c in rows.columns if c not in keys]
+    newest = out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("n"))
+    return newest.select(*keys, *[F.col(f"n.{c}").alias(c) for c in rest])
+
+
+def hourly_totals(spark: SparkSession, folder: str, files: str = "events*.parquet", late: str = "1 hour") -> DataFrame:
+    """category, hour, n, cents. State is dropped once the watermark has passed an hour; later rows for it go."""
+    totals = event_stream(spark, folder, files, late).groupBy("category", F.window("at", "1 hour")).agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
     hour = F.floor(F.unix_micros(F.col("window.start")) / F.lit(3_600_000_000)).alias("hour")
-    return spark.table(name).select("category", hour, "n", "cents")
+    return drain(spark, totals.select("category", hour, "n", "cents"), ["category", "hour"], "update")
+
+
+def sessions(spark: SparkSession, folder: str, files: str = "events*.parquet", gap: str = "3 hours", late: str = "1 hour") -> DataFrame:
+    """clip, start_us, end_us, n, cents of runs of events less than `gap` apart. Sessions can't be updated in place: a replay
+    like this one writes all of them, a job that goes on appends each once the watermark has passed its end."""
+    s = event_stream(spark, folder, files, late).groupBy("clip", F.session_window("at", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
+    us = lambda c: F.unix_micros(F.col(c))
+    return drain(spark, s.select("clip", us("w.start").alias("start_us"), us("w.end").alias("end_us"), "n", "cents"), [], "complete")
