@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventspan.llm import bpe, line_dedup, mixing, simhash, toxicity
+from eventspan.llm import bpe, jaccard, line_dedup, mixing, toxicity
 from eventspan.llm.common import bounded_batches, cut
 
 
@@ -29,9 +29,10 @@ def drop_repeated_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents whose SimHash fingerprints are linked, the one with the smallest id stays."""
+    """Of each group of documents linked by a Jaccard similarity of 0.8 or more of their five-word shingles, the one with the
+    smallest id stays."""
     bounded_batches(spark)
-    return simhash.drop_near_duplicates(docs)
+    return jaccard.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
