@@ -15,9 +15,8 @@ from .common import cut, drop_path, join_shared, new_path
 #: A run of at least this many words that stood earlier is removed; fingerprints are of half as many.
 RUN_WORDS = 50
 GRAM_WORDS = 25
-#: left and right: for each line around a gram, nearest first, 8 bytes of its digest and 4 of the words from the gram to its end.
-SCHEMA = "key binary, k1 long, k2 long, start int, stop int, words int, left binary, right binary"
-ITEM = 12
+#: windows: those that chose the gram, as digest, first and last line.
+SCHEMA = "key binary, k1 long, k2 long, windows array<struct<name: binary, a: int, b: int>>"
 
 
 def ends(total: np.ndarray, least: int) -> np.ndarray:
@@ -26,13 +25,12 @@ def ends(total: np.ndarray, least: int) -> np.ndarray:
 
 
 def fingerprints(text: str, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> list[tuple]:
-    """Winnowed fingerprints of a text: (digest, first line, last line, words, lines before, lines after); see SCHEMA.
+    """Winnowed fingerprints of a text: (digest, windows); see SCHEMA.
 
     A gram is the shortest run of whole lines from some line on with at least gram_words words. A window is the shortest run
-    of lines with at least run_words words; of the grams inside it the one with the smallest digest is selected. Equal runs
-    of run_words words hold an equal window, so they are sure to share a selected gram, also where one line is the run.
-    Lines are compared without outer white space. Around a gram, lines are kept out to run_words words: the next selected
-    gram of a common run is never further.
+    of lines from some line on, or up to some line, with at least run_words words; of the grams inside it the one with the
+    smallest digest is selected. Equal runs of run_words words or more hold equal windows, which cover them and select equal
+    grams, also where one line is the run. Lines are compared without outer white space.
     """
     lines = [x.strip() for x in text.split("\n")]
     words = np.array([len(x.encode("utf-8", "replace").split()) for x in lines], dtype=np.int64)
@@ -40,66 +38,53 @@ def fingerprints(text: str, run_words: int = RUN_WORDS, gram_words: int = GRAM_W
         return []
     total = np.concatenate(([0], np.cumsum(words)))
     n = len(lines)
-    gram_end, window_end = ends(total, gram_words), ends(total, run_words)
+    gram_end, window_end = ends(total, gram_words).tolist(), ends(total, run_words).tolist()
+    window_start = (np.searchsorted(total, total[1:] - run_words, side="right") - 1).tolist()
     code = [hashlib.blake2b(x.encode("utf-8", "replace"), digest_size=16).digest() for x in lines]
-    around = lambda at, reach: b"".join(code[i][:8] + int(n).to_bytes(4, "big") for i, n in zip(at, reach))
-    grams = [(hashlib.blake2b(b"".join(code[i : e + 1]), digest_size=16).digest() if e < n and words[i] else None) for i, e in enumerate(gram_end.tolist())]
-    chosen: set[int] = set()
-    for i, b in enumerate(window_end.tolist()):
-        if b >= n:
-            break
-        inside = [(grams[j], -j) for j in range(i, b + 1) if grams[j] is not None and gram_end[j] <= b]
-        if inside:
-            chosen.add(-min(inside)[1])
-    out = []
-    for j in sorted(chosen):
-        e = int(gram_end[j])
-        a = int(np.searchsorted(total, total[j] - run_words, side="right")) - 1 if total[j] >= run_words else 0
-        b = min(n, int(np.searchsorted(total, total[e + 1] + run_words)))
-        out.append((grams[j], j, e, int(total[e + 1] - total[j]), around(range(j - 1, a - 1, -1), (total[j] - total[a:j])[::-1]), around(range(e + 1, b), total[e + 2 : b + 1] - total[e + 1])))
-    return out
-
-
-def same_lines(a: Column, b: Column) -> Column:
-    """How many first items of two packed lists agree."""
-    n = F.floor(F.least(F.length(a), F.length(b)) / ITEM).cast("int")
-    item = lambda x, i: F.substring(x, (i - 1) * ITEM + 1, F.lit(ITEM))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), lambda k, i: F.when((i <= n) & (k == i - 1) & (item(a, i) == item(b, i)), i).otherwise(k))
-
-
-def words_to(a: Column, n: Column) -> Column:
-    """Words up to the end of the n-th item."""
-    return F.when(n > 0, F.conv(F.hex(F.substring(a, n * ITEM - 3, F.lit(4))), 16, 10).cast("int")).otherwise(0)
+    digest = lambda a, b: hashlib.blake2b(b"".join(code[a : b + 1]), digest_size=16).digest()
+    grams = [(digest(i, e) if e < n and words[i] else None) for i, e in enumerate(gram_end)]
+    windows = {(i, b) for i, b in enumerate(window_end) if b < n} | {(i, b) for b, i in enumerate(window_start) if i >= 0}
+    chosen: dict[bytes, list[tuple]] = {}
+    for a, b in sorted(windows):
+        gram = min(grams[j] for j in range(a, b + 1) if grams[j] is not None and gram_end[j] <= b)
+        chosen.setdefault(gram, []).append((digest(a, b), a, b))
+    return list(chosen.items())
+
+
+def merged(runs: Column) -> Column:
+    """Runs of lines, sorted, with those that meet or overlap as one."""
+    start = F.slice(runs, 1, 1)
+    last = lambda done: F.element_at(done, -1)
+    longer = lambda done, r: F.struct(last(done)["a"].alias("a"), F.greatest(last(done)["b"], r["b"]).alias("b"))
+    add = lambda done, r: F.when(r["a"] <= last(done)["b"] + 1, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer(done, r)))).otherwise(F.concat(done, F.array(r)))
+    return F.aggregate(runs, start, add)
 
 
 def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
     """docs: k1, k2, text. Returns k1, k2, runs: the runs of lines (first, last) of each text that stood earlier, in a text with
     a smaller (k1, k2) or further up in the same one.
 
-    Each fingerprint is compared with its first occurrence, with the first that also has the same line before it, and with
-    the first that has the same line after it; each is found by a minimum that is combined before the shuffle, so a line that
-    a third of the texts share costs three rows for each and no pairs. Both ways the match is extended line by line.
+    Windows whose gram is repeated are held against the first equal window, found by a minimum that is combined before the
+    shuffle, so a passage that a third of the texts share costs a row for each of its windows and no pairs. An earlier part of
+    under run_words words is no window and hides nothing.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
         for batch in batches:
-            rows = [(f[0], k1, k2, *f[1:]) for k1, k2, text in zip(batch["k1"], batch["k2"], batch["text"]) for f in fingerprints(text, run_words, gram_words)]
-            yield pd.DataFrame(rows, columns=names)
+            rows = [(key, k1, k2, [{"name": x, "a": a, "b": b} for x, a, b in windows]) for k1, k2, text in zip(batch["k1"], batch["k2"], batch["text"]) for key, windows in fingerprints(text, run_words, gram_words)]
+            yield pd.DataFrame(rows, columns=["key", "k1", "k2", "windows"])
 
     spark = docs.sparkSession
     path = new_path(spark, "line-marks")
     marks = cut(docs.select("k1", "k2", "text").mapInPandas(run, SCHEMA), "line-marks", path)
-    again = marks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.lit(True).alias("again"))
+    # A gram that stands twice in one text is one mark with several windows.
+    again = marks.groupBy("key").agg(F.sum(F.size("windows")).alias("n")).where("n > 1").select("key", F.lit(True).alias("again"))
     shared = join_shared(marks, again, "key").where("again").drop("again")
-    beside = [F.when(F.length(side) > 0, F.concat("key", F.lit(at).cast("binary"), F.substring(side, 1, 8))) for at, side in (("<", "left"), (">", "right"))]
-    named = cut(shared.withColumn("name", F.explode(F.array_compact(F.array("key", *beside)))).drop("key"), "line-shared")
+    named = cut(shared.select("k1", "k2", F.inline("windows")), "line-shared")
     drop_path(spark, path)
-    first = named.groupBy("name").agg(F.min(F.struct("k1", "k2", "start", "left", "right")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("name", "f")
-    later = join_shared(named, first, "name").where(F.col("f").isNotNull() & (F.struct("k1", "k2", "start") > F.struct("f.k1", "f.k2", "f.start")))
-    up, down = same_lines(F.col("left"), F.col("f.left")), same_lines(F.col("right"), F.col("f.right"))
-    runs = later.withColumn("up", up).withColumn("down", down).where(F.col("words") + words_to(F.col("left"), F.col("up")) + words_to(F.col("right"), F.col("down")) >= run_words)
-    return runs.groupBy("k1", "k2").agg(F.collect_set(F.struct((F.col("start") - F.col("up")).alias("a"), (F.col("stop") + F.col("down")).alias("b"))).alias("runs"))
+    first = named.groupBy("name").agg(F.min(F.struct("k1", "k2", "a")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("name", "f")
+    later = join_shared(named, first, "name").where(F.col("f").isNotNull() & (F.struct("k1", "k2", "a") > F.struct("f.k1", "f.k2", "f.a")))
+    return later.groupBy("k1", "k2").agg(merged(F.array_sort(F.collect_set(F.struct("a", "b")))).alias("runs"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:

@@ -67,3 +67,30 @@ def test_random_lines_lose_only_what_stood_earlier(spark):
         it = iter(left)
         assert all(any(x == y for y in it) for x in must), "a line went that is in no repeated run"
     assert set(x for t in texts for x in t.split("\n")) == set(x for t in got.values() for x in t.split("\n") if x)
+
+
+def lost(spark, texts):
+    """What line_dedup leaves of each text, and what is left where every repeated run goes."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.text for x in line_dedup.line_dedup(df).collect()}
+    gone = brute(texts)
+    return [got[i] for i in range(len(texts))], ["\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in enumerate(texts)]
+
+
+def test_random_lines_lose_all_that_stood_earlier(spark):
+    r = random.Random(9)
+    pool = [words(r, r.randint(1, 30)) for _ in range(12)] + ["", " ", words(r, 70)]
+    got, want = lost(spark, ["\n".join(r.choice(pool) for _ in range(r.randint(1, 12))) for _ in range(60)])
+    assert got == want
+
+
+def test_an_earlier_part_hides_no_full_copy(spark):
+    r = random.Random(4)
+    texts = []
+    for _ in range(20):
+        passage = [words(r, 5) for _ in range(r.choice([10, 11, 12]))]
+        at = r.randint(0, len(passage) - 9)
+        texts.append("\n".join([words(r, 5), *passage[at : at + 9], words(r, 5)]))
+        texts += ["\n".join([words(r, 5), *passage, words(r, 5)]) for _ in range(5)]
+    got, want = lost(spark, texts)
+    assert got == want
