@@ -18,7 +18,9 @@ from .common import crc_mod, cut, map_texts
 MAX_FIT_ROWS = 20_000
 MAX_TERMS = 4096
 MAX_EXAMPLES = 4096
-LEAST_CHI2, LEAST_DF = 40.0, 4
+LEAST_DF = 4
+#: Terms that may be chosen by chance, as expected: whatever the number of rows and of terms, so few rows can give terms too.
+BY_CHANCE = 1.0
 BLOCK = 64
 NEIGHBOURS = 15
 STEMS = (4, 5)
@@ -156,8 +158,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: i
 def fit(labelled: DataFrame, max_terms: int = MAX_TERMS, max_examples: int = MAX_EXAMPLES) -> Index:
     """labelled: doc_id, text, toxic (0 or 1), of a bounded number of rows (see training_rows).
 
-    Equal texts of a label count once. Terms are the max_terms words and word stems that go with the label most (chi square);
-    examples the max_examples rows by text hash that have such a term. What the driver gets is bounded by these numbers. Rows
+    Equal texts of a label count once. Terms are the max_terms words and word stems that go with the label most (chi square), of those
+    that would hardly do so by chance (a bound of the binomial tail, times the number of terms, is at most BY_CHANCE); examples the max_examples rows by text hash that have such a term. What the driver gets is bounded by these numbers. Rows
     without any such term only set the score of texts without one.
     """
     rows = labelled.select(F.xxhash64("text").alias("h"), "doc_id", "text", "toxic")
@@ -183,8 +185,12 @@ def fit(labelled: DataFrame, max_terms: int = MAX_TERMS, max_examples: int = MAX
     cross = bad * (n - n1 - df + bad) - (df - bad) * (n1 - bad)
     chi2 = n * cross * cross / (df * (n - df) * float(n1) * float(n - n1))
     stats = rows.select("text", "toxic").mapInPandas(count, "term string, df long, bad long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("bad").alias("bad"))
+    stats = cut(stats.where(F.col("df") >= LEAST_DF), "toxicity-terms")
+    share = n1 / n
+    part = lambda k, p: F.when(k > 0, k * F.log(k / (df * p))).otherwise(0.0)
+    surprise = part(bad, share) + part(df - bad, 1 - share)
     # Only terms that speak for the label: a common word's absence from it is no likeness.
-    chosen = stats.where((F.col("df") >= LEAST_DF) & (F.col("df") < n) & (bad * n > df * n1)).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
+    chosen = stats.where((F.col("df") < n) & (bad * n > df * n1)).withColumn("chi2", chi2).where(surprise >= float(np.log(max(stats.count(), 1) / BY_CHANCE)))
     chosen = chosen.orderBy(F.desc("chi2"), "term").limit(max_terms).collect()
     terms = {r.term: i for i, r in enumerate(chosen)}
     idf = np.array([np.log((n + 1) / (r.df + 0.5)) for r in chosen])

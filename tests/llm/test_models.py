@@ -55,6 +55,20 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.toxicity(docs, marks.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_toxic_documents_of_few_labelled_rows_are_rejected(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("aeioubcdfg") for _ in range(r.randint(2, 6)))
+    slurs, rows = ["zonk", "wurp", "zilt", "yarx", "vemp"], []
+    for i in range(80):
+        words = [word() for _ in range(50)] + ([slurs[i // 8 % 5], slurs[(i // 8 + 1) % 5]] if i % 8 == 0 else [])
+        rows.append((i, " ".join(words), int(i % 8 == 0)))
+    index = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert set(index.terms) == set(slurs)
+    fresh = [(100 + i, " ".join([word() for _ in range(40)] + (slurs[i % 4 : i % 4 + 2] if i % 3 == 0 else [])), 1) for i in range(60)]
+    left = toxicity.reject(spark.createDataFrame(fresh, "doc_id long, text string, n int"), index)
+    assert {x.doc_id for x in left.collect()} == {100 + i for i in range(60) if i % 3}
+
+
 def test_folded_tables_equal_the_plain_network():
     r = np.random.default_rng(3)
     nf = language.FILTERS * len(language.WIDTHS)
