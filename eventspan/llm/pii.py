@@ -12,17 +12,31 @@ DAY_BLOCK, FIRST_DAY = (288, 256), "1900-01-01"
 #: Valid area and group pairs (898 x 99) and serials of US social security numbers.
 SSN_PARTS = (898 * 99, 9999)
 
+#: Countries by the length of their IBAN, whose printed form is blocks of four, so that a block after it is no part of it.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA",
+    23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "DZ|IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM",
+    28: "AL|AZ|BY|CY|DO|GT|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+IBAN_BLOCKS = "|".join(rf"(?:{c})\d{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_COUNTRIES.items())
+#: Card numbers: four or more blocks of four (see card_parts), 4-6-5 or 4-6-4, plain; else any run of 13 to 19 digits without one
+#: of these inside, so a number beside a card stays outside the match.
+CARD_END = r"(?!\w|-\d)"
+CARD_BLOCKS = r"\d{4}(?:[ -]\d{4}){3,}(?:[ -]\d{3}(?!\w|[ .-]\d))?"
+CARD_KNOWN = rf"(?:{CARD_BLOCKS}|\d{{4}}[ -]\d{{6}}[ -]\d{{4,5}}|\d{{13,19}}){CARD_END}"
+CARD = rf"(?<![\w-])(?:{CARD_KNOWN}|(?!(?:\d{{1,18}}[ -]){{1,18}}{CARD_KNOWN})\d(?:[ -]?\d){{12,18}}{CARD_END})"
+
 #: What is looked for, in this order at each place. Validation follows; what fails it stays as it is.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)",
-    "iban": r"(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?!\w)",
+    "iban": rf"(?<!\w)(?:[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}|{IBAN_BLOCKS})(?!\w)",
     "secret": r"(?<!\w)(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?!\w)",
     "iso_date": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])",
     "date": r"(?<![\w./])\d{2}[./]\d{2}[./]\d{4}(?!\w|[./]\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w|-\d)",
-    "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w]|-\d)",
+    "card": CARD,
 }
 ANY = "|".join(PATTERNS.values())
 
@@ -80,11 +94,38 @@ def luhn_sum(digits: Column) -> Column:
 
 
 def mod97(x: Column) -> Column:
-    """Of an IBAN's rearranged text, letters as 10 to 35."""
+    """Of an IBAN's rearranged text, letters as 10 to 35; blanks do not count."""
+    x = F.replace(x, F.lit(" "), F.lit(""))
     v = lambda i: F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.substring(x, i, F.lit(1))) - 1
     return F.aggregate(F.sequence(F.lit(1), F.length(x)), F.lit(0), lambda s, i: F.pmod(s * F.when(v(i) > 9, 100).otherwise(10) + v(i), F.lit(97)))
 
 
+def is_card(x: Column) -> Column:
+    return (F.pmod(luhn_sum(only(x, "0-9")), F.lit(10)) == 0) & only(x, "0-9").rlike("[1-9]")
+
+
+def parts(x: Column) -> Column:
+    """A match as parts (x, kind); kind is null where nothing is replaced. Of more than four blocks of digits the first four
+    that are a valid card are one, with the three digits at the end where these make it valid; the rest is searched on."""
+    part = lambda x, kind: F.struct(x.alias("x"), kind.alias("kind"))
+    none = F.lit(None).cast("string")
+    cut = lambda s, i, n: F.substring(s, i, n)
+    n = F.length(x)
+
+    def step(done: Column, i: Column) -> Column:
+        at = i * 5 + 1
+        long = (at + 22 == n) & is_card(cut(x, at, F.lit(23)))
+        size = F.when(at < done["next"], 0).when(long, 23).when((at + 18 <= n) & is_card(cut(x, at, F.lit(19))), 19).otherwise(0)
+        before = part(cut(x, done["next"], at - done["next"]), none)
+        found = F.concat(done["out"], F.array(before, part(cut(x, at, size), F.lit("card"))))
+        return F.struct(F.when(size > 0, at + size).otherwise(done["next"]).cast("int").alias("next"), F.when(size > 0, found).otherwise(done["out"]).alias("out"))
+
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<x:string,kind:string>>").alias("out"))
+    end = lambda done: F.concat(done["out"], F.array(part(cut(x, done["next"], n), none)))
+    blocks = F.aggregate(F.sequence(F.lit(0), F.floor((n - 19) / 5).cast("int")), start, step, end)
+    return F.when((n > 19) & x.rlike(f"^{CARD_BLOCKS}$"), blocks).otherwise(F.array(part(x, kind_of(x))))
+
+
 def kind_of(x: Column) -> Column:
     """The first pattern whose form the whole match has and whose validation holds, or null."""
     whole = lambda k: x.rlike(f"^(?:{PATTERNS[k]})$")
@@ -96,7 +137,7 @@ def kind_of(x: Column) -> Column:
         "iso_date": as_date(x).isNotNull(),
         "date": as_date(x).isNotNull(),
         "ssn": ~x.rlike(r"^(000|666|9)|-00-|-0000$"),
-        "card": (F.pmod(luhn_sum(only(x, "0-9")), F.lit(10)) == 0) & only(x, "0-9").rlike("[1-9]"),
+        "card": is_card(x),
     }
     return F.coalesce(*[F.when(whole(k) & valid[k] if k in valid else whole(k), F.lit(k)) for k in PATTERNS])
 
@@ -192,17 +233,18 @@ def pseudonymize(docs: DataFrame, key: str = "change-me", text_col: str = "text"
     """
     core, permuted, shown = pseudonym(key)
     text = F.col(text_col)
-    found = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda x: F.struct(x.alias("x"), kind_of(x).alias("kind")))
-    found = F.transform(found, lambda m: F.struct(m["x"].alias("x"), m["kind"].alias("kind"), core(m).alias("core")))
-    found = F.transform(found, lambda m: F.struct(m["x"].alias("x"), m["kind"].alias("kind"), permuted(m).alias("p")))
-    found = F.transform(found, lambda m: F.struct(m["kind"].alias("kind"), shown(m).alias("y")))
+    each = lambda f, found: F.transform(found, lambda x: F.transform(x, f))
+    found = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), parts)
+    found = each(lambda m: F.struct(m["x"].alias("x"), m["kind"].alias("kind"), core(m).alias("core")), found)
+    found = each(lambda m: F.struct(m["x"].alias("x"), m["kind"].alias("kind"), permuted(m).alias("p")), found)
+    found = each(lambda m: F.struct(m["kind"].alias("kind"), shown(m).alias("y")), found)
     # One column each, so nothing is computed twice.
     with_found = docs.withColumn("__hits", F.when(text.rlike(ANY), found))
     gaps = F.split(text, ANY, -1)
-    joined = F.concat(F.array_join(F.flatten(F.zip_with(F.slice(gaps, 1, F.size("__hits")), "__hits", lambda g, m: F.array(g, m["y"]))), ""), F.element_at(gaps, -1))
+    joined = F.concat(F.array_join(F.flatten(F.zip_with(F.slice(gaps, 1, F.size("__hits")), "__hits", lambda g, x: F.array(g, F.array_join(F.transform(x, lambda m: m["y"]), "")))), ""), F.element_at(gaps, -1))
     return with_found.select(
         *[F.when(F.col("__hits").isNotNull(), joined).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.coalesce(F.filter(F.transform("__hits", lambda m: m["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>")).alias("__found"),
+        F.coalesce(F.filter(F.transform(F.flatten("__hits"), lambda m: m["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>")).alias("__found"),
     )
 
 

@@ -59,6 +59,31 @@ def test_values(spark):
     assert pii.report(df.limit(0)).count() == 0
 
 
+def test_cards_and_ibans_beside_other_numbers(spark):
+    card, amex, long, iban = "4111 1111 1111 1111", "3782 822463 10005", "6304 0000 0000 0000 000", "DE89 3704 0044 0532 0130 00"
+    other = "4539 5787 6362 1486"
+    assert luhn(long.replace(" ", ""))
+    ask = [
+        "card @ 12/27", "order 2 @", "2024 @", "@ 2024-01-02", "12345 @ x", "1234 5678 @ 99", "7 @ 123.", "@", "(@) 5",
+        "id 2 4111111111111111".replace("4111111111111111", "@"), "9-@",
+    ]
+    texts = [a.replace("@", x) for x in (card, card.replace(" ", ""), card.replace(" ", "-"), amex) for a in ask[:-1]]
+    texts += [f"{card} {other}", long, f"{iban} BIC1 and 3 {iban}", "BE68 5390 0754 7034 EUR 5", f"BE68 5390 0754 7034 {card}", "DE88 3704 0044 0532 0130 00", "DE89370400440532013000"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymize(df, "k1").collect()}
+    plain = lambda x: re.sub("[ -]", "", x)
+    for i, (x, a) in enumerate((x, a) for x in (card, plain(card), card.replace(" ", "-"), amex) for a in ask[:-1]):
+        want = plain_feistel(plain(x)[:-1], pii.DIGITS, "card", "k1")
+        shape = re.escape(a).replace("@", "(" + re.sub(r"\d", r"\\d", x) + ")").replace("2024\\-01\\-02", r"\d{4}-\d\d-\d\d")
+        m = re.fullmatch(shape, got[i].text)
+        assert m and plain(m[1])[:-1] == want and luhn(plain(m[1])), (texts[i], got[i].text)
+    n = len(texts) - 7
+    assert [got[n + k]["__found"] for k in range(7)] == [["card"] * 2, ["card"], ["iban"] * 2, ["iban"], ["iban", "card"], [], ["iban"]]
+    m = re.fullmatch(r"(DE\d\d( \d{4}){4} \d\d) BIC1 and 3 (.*)", got[n + 2].text)
+    assert m and m[1] == m[3] != iban and plain(m[1]) == got[n + 6].text
+    assert got[n + 5].text == texts[n + 5] and re.fullmatch(r"BE\d\d( \d{4}){3} EUR 5", got[n + 3].text)
+
+
 @pytest.mark.parametrize("sizes", [(3, 4), (288, 256)])
 def test_number_permutation_is_one_to_one(spark, sizes):
     n = sizes[0] * sizes[1]
