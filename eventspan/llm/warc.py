@@ -6,53 +6,71 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, join_shared, new_path
+from .common import bitmap, cut, frees_shuffles, join_shared, may_have, new_path, scratch
 
 LEAST_BYTES = 100
 RECORD_END = "\r\n\r\n"
+#: Most bytes of a file before compression: an archive is read as one value, which has to be under 2 GB.
+FILE_BYTES = 1 << 30
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES, date: str = "2026-01-01T00:00:00Z") -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES, date: str = "2026-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
     """Write one record per page to gzipped WARC 1.1 files in the folder `path`, revisits without their payload.
 
-    Spark's text writer makes the files (its line end is the record end), so they go to any store it can write. A row keeps
-    its payload only if it is a response: of equal payloads of at least `least_bytes`, the row with the smallest id (null ids
-    last; of repeated rows the first by url). Headers meet by payload digest, combined before the shuffle to one slim row per
-    digest; rows join it salted, so a payload that a third of the pages share is no hot task. Null html is an empty payload, null url an empty target; null ids write `null`.
+    Of equal payloads of at least `least_bytes` the row with the smallest id (null ids last; of repeated rows the first by url) is
+    the response. Headers (id, url, digest, size) alone are shuffled to find these; hot digests are joined apart. Revisits are
+    written from their headers. Payloads stay where they are read, but for responses whose digest may stand twice: these, one of
+    each group, meet their headers once. Spark's text writer makes the files (its line end is the record end), so they go to any store it
+    can write; no file has more than `file_bytes` before compression, or one record. Null html is an empty payload, null url an
+    empty target; null ids write `null`. Empty tables write no record; other columns are not read.
     """
-    rows = pages.select(
+    pages = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")
-    ).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("bytes", F.octet_length("html").cast("long"))
-    shared = (
-        rows.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "url")).alias("o"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1").select("digest", F.col("o.page_id").alias("original"), F.lit(True).alias("shared"))
-    )
-    # Salted by id, so equal rows stay together: of rows with the original's id one is the response.
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    copies = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    turn = F.row_number().over(Window.partitionBy("digest", "salt", "page_id").orderBy("url"))
-    marked = salted.join(copies, ["digest", "salt"], "left").withColumn("turn", turn)
-    response = F.col("shared").isNull() | F.col("original").eqNullSafe(F.col("page_id")) & (F.col("turn") == 1)
-    show = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    name = lambda c: F.concat(F.lit("<urn:page:"), show(c), F.lit(">"))
-    payload = F.when(response, F.col("html")).otherwise(F.lit(""))
+    ).withColumn("digest", F.unhex(F.sha2(F.col("html").cast("binary"), 256))).withColumn("bytes", F.octet_length("html").cast("long"))
+    name = ["digest", "page_id", "url"]
+    headers = cut(pages.groupBy(*name, "bytes").agg(F.count(F.lit(1)).alias("copies")), "warc-headers")
+    shared = headers.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("first"), F.sum("copies").alias("n")).where("n > 1")
+    found = join_shared(headers, shared, "digest")
+    first = F.coalesce(F.col("first.page_id").eqNullSafe(F.col("page_id")) & (F.col("first.url") == F.col("url")), F.lit(False))
+    again = F.col("copies") - F.when(first, 1).otherwise(0)
+    revisits = found.where(F.col("first").isNotNull() & (again > 0)).withColumn("copy", F.explode(F.sequence(F.lit(1), again.cast("int"))))
+    revisits = revisits.select(*name, F.lit("").alias("html"), F.lit(False).alias("response"), F.col("first.page_id").alias("original"))
+
+    # Which payloads move: responses of digests that may stand twice. The same filter decides for headers and pages.
+    twice = bitmap(shared.select(F.xxhash64("digest")))
+    by_digest = lambda df: may_have(df.withColumn("hash", F.xxhash64("digest")), twice, "hash").withColumn("may", F.col("__may") & (F.col("bytes") >= least_bytes)).drop("__may", "hash")
+    wanted = cut(by_digest(found).where(F.col("may") & (F.col("first").isNull() | first)).select(*name), "warc-responses")
+    marked = by_digest(pages)
+    moving = may_have(marked.where("may").withColumn("hash", F.xxhash64(*name)), bitmap(wanted.select(F.xxhash64(*name))), "hash").where("__may")
+    null = F.coalesce(F.col("page_id"), F.lit(0)), F.col("page_id").isNull()
+    keyed = lambda df: df.withColumn("p", null[0]).withColumn("none", null[1])
+    moved = keyed(moving).join(keyed(wanted).select("digest", "url", "p", "none"), ["digest", "url", "p", "none"], "left_semi").dropDuplicates(["digest", "url", "p", "none"])
+    responses = marked.where(~F.col("may")).select(*name, "html").union(moved.select(*name, "html"))
+    rows = responses.select("*", F.lit(True).alias("response"), F.lit(None).cast("long").alias("original")).union(revisits)
+
+    show = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
+    response, digest = F.col("response"), F.lower(F.hex("digest"))
+    block = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"), F.col("html"))
     header = F.concat_ws(
         "\r\n",
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(response, "response").otherwise("revisit")),
-        F.concat(F.lit("WARC-Record-ID: "), name("page_id")),
+        F.concat(F.lit("WARC-Record-ID: "), show("page_id")),
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]", "")),
         F.lit(f"WARC-Date: {date}"),
-        F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
-        F.when(~response, F.concat(F.lit("WARC-Refers-To: "), name("original"))),
+        F.concat(F.lit("WARC-Payload-Digest: sha256:"), digest),
+        F.when(~response, F.concat(F.lit("WARC-Refers-To: "), show("original"))),
         F.when(~response, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        F.lit("Content-Type: text/html; charset=utf-8"),
-        F.concat(F.lit("Content-Length: "), F.octet_length(payload).cast("string")),
+        F.lit("Content-Type: application/http; msgtype=response"),
+        F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     )
-    marked.select(F.concat(header, F.lit("\r\n\r\n"), payload).alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
+    longest = headers.agg(F.max(F.col("bytes") + F.octet_length("url"))).first()[0] or 0
+    out = rows.select(F.concat(header, F.lit("\r\n\r\n"), block).alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip")
+    with frees_shuffles(pages.sparkSession):
+        out.option("maxRecordsPerFile", str(max(1, file_bytes // (longest + 1024)))).text(path)
 
 
 def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -111,7 +129,8 @@ def read_archives(spark, path: str) -> DataFrame:
         for batch in batches:
             rows = []
             for data in batch["content"]:
-                for head, payload in records(inflate(data)):
+                for head, block in records(inflate(data)):
+                    payload = block.split(b"\r\n\r\n", 1)[1]
                     digest, kind = head["WARC-Payload-Digest"].removeprefix("sha256:"), head["WARC-Type"]
                     if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError(f"{head['WARC-Record-ID']}: the payload differs from its digest")
@@ -124,11 +143,11 @@ def read_archives(spark, path: str) -> DataFrame:
 
 def resolved(archive: DataFrame) -> DataFrame:
     """Revisits get the full payload's size from the response that has their digest. Digests that only responses have don't
-    take part in the join, and it is salted for digests that very many revisits have."""
-    sizes = archive.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("full"))
-    asked = archive.where("record_type = 'revisit'").select("payload_digest").distinct()
-    found = join_shared(archive, sizes.join(asked, "payload_digest", "left_semi"), "payload_digest")
-    size = F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(F.col("full"))
+    take part in the join, and those that very many revisits have are joined apart."""
+    kind = F.col("record_type")
+    sizes = archive.groupBy("payload_digest").agg(F.max(F.when(kind == "response", F.col("payload_bytes"))).alias("full"), F.count(F.when(kind == "revisit", 1)).alias("n")).where("n > 0")
+    found = join_shared(archive, sizes, "payload_digest")
+    size = F.when(kind == "response", F.col("payload_bytes")).otherwise(F.col("full"))
     return found.select("page_id", size.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
@@ -139,8 +158,10 @@ def round_trip(pages: DataFrame, path: str | None = None, **options) -> DataFram
     payloads are held one at a time by the reader.
     """
     path = path or new_path(pages.sparkSession, "warc")
-    write_archives(pages, path, **options)
-    return resolved(read_archives(pages.sparkSession, path))
+    with scratch(pages.sparkSession) as made:
+        write_archives(pages, path, **options)
+        archive = made.keep(read_archives(pages.sparkSession, path), "warc-records")
+    return resolved(archive)
 
 
 SQL = """
