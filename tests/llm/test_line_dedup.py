@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -94,3 +95,26 @@ def test_an_earlier_part_hides_no_full_copy(spark):
         texts += ["\n".join([words(r, 5), *passage, words(r, 5)]) for _ in range(5)]
     got, want = lost(spark, texts)
     assert got == want
+
+
+def test_blank_lines_and_clashing_names(spark):
+    r = random.Random(6)
+    passage = "\n".join(words(r, 8) + "\n" * r.randint(0, 2) for _ in range(9))
+    texts = ["\n" * 40 + passage + "\n\n\n" + words(r, 5), words(r, 7) + "\n\n" + passage + "\n\n" + words(r, 70), passage + "\n" * 100_000 + passage]
+    got, want = lost(spark, texts[:2])
+    assert got == want and passage not in got[1]
+    start = time.time()
+    assert len(line_dedup.fingerprints("\n" * 300_000 + passage)) > 0 and time.time() - start < 15
+    df = spark.createDataFrame([(i, t, 7, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, __k1 int, __RUNS string, __lines int")
+    out = line_dedup.line_dedup(df)
+    assert out.columns == ["doc_id", "text", "__k1", "__RUNS", "__lines", "__removed_lines", "__removed_words"]
+    rows = {x.doc_id: x for x in out.collect()}
+    assert rows[2].text.strip() == "" and rows[2]["__k1"] == 7 and rows[2]["__lines"] == texts[2].count("\n") + 1
+
+
+def test_null_id_beside_the_largest_id(spark):
+    r = random.Random(8)
+    one = "\n".join(words(r, 10) for _ in range(8))
+    df = spark.createDataFrame([(2**63 - 1, one), (None, one + "\n" + words(r, 3)), (None, one)], "doc_id long, text string")
+    got = line_dedup.line_dedup(df).collect()
+    assert {x.text for x in got if x.doc_id is not None} == {one} and all(one not in x.text for x in got if x.doc_id is None)
