@@ -1,4 +1,5 @@
-"""Near duplicates by exact Jaccard similarity of word shingles: prefix and position filters, then the full sets."""
+"""Exact links of sets of word shingles by Jaccard similarity: prefix and position filters, then the full sets. The part of
+near-duplicate search that fingerprints can't do: at this similarity they differ in about ten bits."""
 
 from __future__ import annotations
 
@@ -6,27 +7,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_shared, map_texts
+from .common import bitmap, cut, map_texts, may_have, row_key, small
 from .components import components
-from .simhash import shingles
+from .shingles import majority, shingles
 
-WORDS = 5
 #: Least similarity as a fraction, so that bounds are whole numbers: two sets of a and b shingles are similar if they share at
 #: least NUM / (NUM + DEN) * (a + b).
 NUM, DEN = 4, 5
 #: Texts from which it is learned which shingles are common, and in how many of them one is. Only the order depends on it.
-SAMPLE, COMMON = 5000, 3
+SAMPLE, COMMON, MOST_COMMON = 5000, 3, 1 << 20
 #: Buckets up to this size give all their pairs at once.
 PAIRWISE = 32
-BITMAP = 1 << 23
 
 
-def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
+def shingle_set(text: str, words: int) -> np.ndarray:
+    return distinct(shingles(text, words))
+
+
+def distinct(found: np.ndarray) -> np.ndarray:
     """Sorted distinct shingles; a text without words has one of its own."""
-    out = np.unique(shingles(text, words))
+    out = np.unique(found)
     return out if len(out) else np.zeros(1, dtype="<u8")
 
 
@@ -45,7 +48,7 @@ def text_of(col: str):
 
 
 def common_shingles(docs: DataFrame, text_col: str, words: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample hold, sorted, and in how many."""
+    """Shingles that several texts of a sample hold, sorted, and in how many; at most MOST_COMMON, the most frequent ones."""
     n = docs.count()
     texts = docs.select(text_of(text_col).alias("text")).where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30))).distinct()
 
@@ -54,12 +57,30 @@ def common_shingles(docs: DataFrame, text_col: str, words: int, sample: int = SA
             for text in batch["text"]:
                 yield pd.DataFrame({"key": signed(shingle_set(text, words))})
 
-    got = texts.mapInPandas(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).toPandas()
+    got = texts.mapInPandas(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(MOST_COMMON).toPandas()
     key, count = got["key"].to_numpy(dtype=np.int64).view(np.uint64), got["n"].to_numpy(dtype=np.int64)
     order = np.argsort(key)
     return key[order], count[order]
 
 
+def rows_of(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """doc_id, h (tells rows apart that have one id), t (a hash of the text), fp (fingerprint), s (name of the set of shingles),
+    n (its size) and its prefix, of every row."""
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, words))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            all_ = [shingles(t, words) for t in batch["text"]]
+            found = [distinct(x) for x in all_]
+            yield pd.DataFrame({
+                "doc_id": batch["doc_id"], "h": batch["h"], "t": batch["t"], "fp": signed([majority(x) for x in all_]), "s": signed([name_of(x) for x in found]),
+                "n": np.array([len(x) for x in found], dtype=np.int32), "prefix": [signed(prefix(x, common.value)) for x in found],
+            })
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col)[1].alias("h"), F.xxhash64(text_of(text_col)).alias("t"), text_of(text_col).alias("text"))
+    return map_texts(texts, run, "doc_id long, h binary, t long, fp long, s long, n int, prefix array<long>")
+
+
 def prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The set's first elements in an order that all sets share, rare ones first: so many that two similar sets have one in common."""
     key, count = common
@@ -76,11 +97,12 @@ def may_link(n, at, m, by) -> np.ndarray:
     return ((NUM + DEN) * shared >= NUM * (n + m)) & (DEN * np.minimum(n, m) >= NUM * np.maximum(n, m))
 
 
-def bucket_pairs(s: np.ndarray, n: np.ndarray, at: np.ndarray, star: bool) -> list[tuple[int, int]]:
-    """Pairs of one bucket, whose rows come by place, that pass the filters; if star, only those with the first row."""
+def bucket_pairs(s: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, star: bool) -> list[tuple[int, int]]:
+    """Pairs of one bucket, whose rows come by place, that pass the filters and have different roots; if star, only those with
+    the first row."""
     out = []
     for i in range(min(1, len(s)) if star else len(s)):
-        hit = np.nonzero(may_link(n[i], at[i], n[i + 1 :], at[i + 1 :]))[0] + i + 1
+        hit = np.nonzero(may_link(n[i], at[i], n[i + 1 :], at[i + 1 :]) & (root[i + 1 :] != root[i]))[0] + i + 1
         x = int(s[i])
         out += [(x, y) if x < y else (y, x) for y in s[hit].tolist()]
     return out
@@ -107,25 +129,26 @@ def edges(key: np.ndarray) -> np.ndarray:
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """sets: s, n, prefix. Returns key, u, v, n, at: pairs u < v where key is null, and the rows (u alone) of buckets too large for
+    """sets: s, n, root, prefix. Returns key, u, v, n, at: pairs u < v where key is null, and the rows (u alone) of buckets too large for
     all their pairs, of which only those with the first row are given."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in runs(batches):
-            key, s, n, at = (rows[c].to_numpy(dtype=np.int64) for c in ("key", "s", "n", "at"))
+            key, s, n, at, root = (rows[c].to_numpy(dtype=np.int64) for c in ("key", "s", "n", "at", "root"))
             edge = edges(key)
             pairs: set = set()
             large = np.zeros(len(key), dtype=bool)
             for a, size in zip(edge[:-1][np.diff(edge) > 1].tolist(), np.diff(edge)[np.diff(edge) > 1].tolist()):
-                pairs.update(bucket_pairs(s[a : a + size], n[a : a + size], at[a : a + size], size > PAIRWISE))
-                large[a : a + size] = size > PAIRWISE
+                here = slice(a, a + size)
+                pairs.update(bucket_pairs(s[here], n[here], at[here], root[here], size > PAIRWISE))
+                large[here] = size > PAIRWISE
             if pairs:
                 u, v = (np.array(x, dtype=np.int64) for x in zip(*pairs))
                 yield pd.DataFrame({"key": pd.array([None] * len(u), dtype="Int64"), "u": u, "v": v, "n": 0, "at": 0})
             if large.any():
                 yield pd.DataFrame({"key": pd.array(key[large], dtype="Int64"), "u": s[large], "v": s[large], "n": n[large], "at": at[large]})
 
-    dealt = sets.select("s", "n", F.posexplode("prefix").alias("at", "key")).select("key", "s", "n", "at")
+    dealt = sets.select("s", "n", "root", F.posexplode("prefix").alias("at", "key")).select("key", "s", "n", "root", "at")
     return dealt.repartition("key").sortWithinPartitions("key", "at", "s").mapInPandas(find, "key long, u long, v long, n int, at int")
 
 
@@ -149,73 +172,45 @@ def across(large: DataFrame) -> DataFrame:
     return large.repartition("key").sortWithinPartitions("key", "at", "s").mapInPandas(find, "u long, v long").distinct()
 
 
-def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:
-    """Those of the distinct pairs whose full sets are similar. Only texts that a bitmap of their hashes lets through are read
-    into sets again; the bitmap has a fixed size, and what it lets through by chance meets no pair."""
-    ends = pairs.select(F.col("u").alias("s")).union(pairs.select(F.col("v").alias("s"))).distinct()
-    need = cut(rows.join(ends, "s").groupBy("s").agg(F.min("h").alias("h")), "near-need")
-    bit = F.pmod(F.col("h"), F.lit(BITMAP))
-    bits = need.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
-    place = F.bitmap_bit_position(F.pmod(F.xxhash64(text_col), F.lit(BITMAP))).cast("int")
-    texts = docs.select(F.bitmap_bucket_number(F.pmod(F.xxhash64(text_col), F.lit(BITMAP))).alias("bucket"), place.alias("place"), F.xxhash64(text_col).alias("h"), text_of(text_col).alias("text"))
-    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    texts = texts.join(F.broadcast(bits), "bucket").where(F.expr("1") == F.pmod(F.floor(byte / F.pow(F.lit(2), F.col("place") % 8)), F.lit(2)))
+def similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:
+    """Those of the distinct pairs of sets that are similar. First by their prefixes: what two sets share beyond both prefixes is no
+    more than the longer rest. Then by the full sets, read again from a text of each; a filter of a fixed size keeps other texts out."""
+    end = lambda c: sets.select(F.col("s").alias(c), F.col("n").alias(f"{c}_n"), F.col("prefix").alias(f"{c}_prefix"))
+    some = pairs.join(end("u"), "u").join(end("v"), "v")
+    beyond = F.greatest(*[F.col(f"{c}_n") - F.size(f"{c}_prefix") for c in "uv"])
+    most = F.size(F.array_intersect("u_prefix", "v_prefix")) + beyond
+    some = cut(some.where((NUM + DEN) * most >= NUM * (F.col("u_n") + F.col("v_n"))).select("u", "v"), "near-some")
+    ends = some.select(F.col("u").alias("s")).union(some.select(F.col("v").alias("s"))).distinct()
+    need = cut(rows.select("s", "t").join(ends, "s", "left_semi").groupBy("s").agg(F.min("t").alias("t")), "near-need")
+    texts = may_have(docs.select(F.xxhash64(text_of(text_col)).alias("t"), text_of(text_col).alias("text")), bitmap(need.select("t")), "t").where("__may").select("t", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [shingle_set(t, words) for t in batch["text"]]
-            yield pd.DataFrame({"h": batch["h"], "found": [signed(x) for x in found]})
-
-    sets = need.join(texts.select("h", "text").mapInPandas(run, "h long, found array<long>").dropDuplicates(["h"]), "h").select("s", "found")
-    sets = cut(sets, "near-sets")
-    # No salts here: copies of full sets cost more disk than a hub's slim pairs in one task.
-    both = pairs.join(sets.select(F.col("s").alias("u"), F.col("found").alias("x")), "u").join(sets.select(F.col("s").alias("v"), F.col("found").alias("y")), "v")
+        for batch in small(batches):
+            found = [shingle_set(x, words) for x in batch["text"]]
+            yield pd.DataFrame({"t": batch["t"], "name": signed([name_of(x) for x in found]), "found": [signed(x) for x in found]})
+
+    # A text with another one's hash has another name, unless it is the same set.
+    read = texts.mapInPandas(run, "t long, name long, found array<long>")
+    full = cut(need.join(read, (need["s"] == read["name"]) & (need["t"] == read["t"])).select("s", "found").dropDuplicates(["s"]), "near-full")
+    # A hub's slim pairs in one task cost less disk than copies of full sets.
+    both = some.join(full.select(F.col("s").alias("u"), F.col("found").alias("x")), "u").join(full.select(F.col("s").alias("v"), F.col("found").alias("y")), "v")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where((NUM + DEN) * shared >= NUM * (F.size("x") + F.size("y"))).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """One row per input row: doc_id, component_id, h, kept, as in simhash.near_duplicates, but rows are linked if the Jaccard
-    similarity of their sets of word shingles is at least NUM / DEN.
+def rest(links: DataFrame, sets: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:
+    """The links given and others that connect, with them, what all similar pairs of sets connect.
 
-    Every similar pair shares a shingle of both prefixes, and passes the filters at the first such. Equal sets are collapsed. Pairs
-    are compared in full, but for those of large buckets whose ends are connected already, so components are those of all pairs.
+    Every similar pair shares a shingle of both prefixes, and passes the filters at the first such. Pairs are compared in full, but
+    for those whose ends are connected already. Large buckets first give the pairs with one row, then those that are left.
     """
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, words))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [shingle_set(t, words) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "h": batch["h"], "s": signed([name_of(x) for x in found]), "n": [len(x) for x in found], "prefix": [signed(prefix(x, common.value)) for x in found]})
-
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), text_of(text_col).alias("text"))
-    rows = cut(map_texts(texts, run, "doc_id long, h long, s long, n int, prefix array<long>"), "near-rows")
-    groups = rows.groupBy("s").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("least"), F.count(F.lit(1)).alias("members"))
-    found = cut(candidates(rows.select("s", "n", "prefix").dropDuplicates(["s"])), "near-buckets")
+    rooted = lambda df, found: df.join(components(found).withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+    found = cut(candidates(rooted(sets.select("s", "n", "prefix"), links)), "near-buckets")
     first = cut(found.where("key IS NULL").select("u", "v").distinct(), "near-pairs")
-    links = cut(similar(first, rows, docs, text_col, words), "near-links")
+    links = cut(links.union(similar(first, sets, rows, docs, text_col, words)), "near-links")
     large = found.where("key IS NOT NULL").select("key", F.col("u").alias("s"), "n", "at")
     if not large.isEmpty():
-        roots = components(links).withColumnRenamed("node", "s")
-        rest = cut(across(large.join(roots, "s", "left").select("key", "s", "n", "at", F.coalesce("root", "s").alias("root"))).join(first, ["u", "v"], "left_anti"), "near-rest")
-        if not rest.isEmpty():
-            links = links.union(similar(rest, rows, docs, text_col, words))
-    roots = components(links).withColumnRenamed("node", "s")
-    placed = groups.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s"))
-    shared = placed.join(placed.groupBy("root").agg(F.min("least").alias("top"), F.sum("members").alias("all")), "root").where("all > 1").select("s", "top")
-    out = join_shared(rows.select("doc_id", "h", "s"), shared, "s")
-    alone = F.col("top").isNull()
-    return out.select(
-        "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("component_id"),
-        "h",
-        (alone | F.col("top.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("top.h") == F.col("h"))).alias("kept"),
-    )
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """docs without all but one row of each component, all columns as they are. Of repeated rows one stays."""
-    kept = near_duplicates(docs, id_col, text_col, words).where("kept").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("__k1"), F.col("h").alias("__k2")).distinct()
-    keyed = docs.withColumn("__k1", F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))).withColumn("__k2", F.xxhash64(text_col))
-    turn = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy(F.col(id_col)))
-    return keyed.join(kept, ["__k1", "__k2"], "left_semi").withColumn("__turn", turn).where("__turn = 1").select(docs.columns)
+        more = cut(across(rooted(large, links).select("key", "s", "n", "at", "root")).join(first, ["u", "v"], "left_anti"), "near-rest")
+        if not more.isEmpty():
+            links = links.union(similar(more, sets, rows, docs, text_col, words))
+    return links

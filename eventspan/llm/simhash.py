@@ -9,56 +9,29 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_shared, map_texts
+from . import jaccard
+from .common import cut, fresh, join_shared, map_texts, row_key, scratch
 from .components import components
+from .shingles import BITS, fingerprint
 
-BITS, MOST = 64, 4
+MOST = 4
 SEGMENTS = MOST + 1
 #: First bit of each segment; 13, 13, 13, 13 and 12 bits.
 STARTS = [round(i * BITS / SEGMENTS + 0.4) for i in range(SEGMENTS)] + [BITS]
-PAIRWISE = 12
-
-
-def shingles(text: str, words: int = 4, seed: int = 42) -> np.ndarray:
-    """XXH64 of each of the text's word shingles; of all its words where they are fewer; nothing for a text without words."""
-    import xxhash
-
-    hash64 = xxhash.xxh64_intdigest
-    w = text.encode("utf-8", "replace").lower().split()
-    n = len(w)
-    if not n:
-        return np.zeros(0, dtype="<u8")
-    joined = b" ".join(w)
-    if n < words:
-        hashes = [hash64(joined, seed)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, w), dtype=np.int64, count=n) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        hashes = [hash64(joined[a:b], seed) for a, b in zip(starts[: n - words + 1].tolist(), ends[words - 1 :].tolist())]
-    return np.array(hashes, dtype="<u8")
-
-
-def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
-    """Bit majority of the XXH64 of the text's word shingles; zero for a text without words."""
-    h = shingles(text, words, seed)
-    if not len(h):
-        return 0
-    ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(h), 1 << 15):
-        ones += np.unpackbits(h[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+#: Buckets of up to so many rows are compared row by row; of up to so many by balls; larger ones are split by the third segment.
+PAIRWISE, BALLS = 12, 256
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """doc_id, h (a hash of the text), fp (the fingerprint's bits as a signed long) of every row. Null text counts as empty."""
+    """doc_id, h (tells rows apart that have one id), fp (the fingerprint's bits as a signed long) of every row. Null text counts as empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.array([fingerprint(t, words) for t in batch["text"]], dtype=np.uint64)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "h": batch["h"], "fp": fp.view(np.int64)})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return map_texts(rows, run, "doc_id long, h long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col)[1].alias("h"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return map_texts(rows, run, "doc_id long, h binary, fp long")
 
 
 def segments(fp: np.ndarray) -> np.ndarray:
@@ -119,19 +92,20 @@ class Forest:
         return True
 
 
-def bucket_links(fp: np.ndarray, forest: Forest, most: int = MOST) -> list[tuple[int, int]]:
-    """Links that connect, within one large bucket, whatever is connected by distances of at most `most`, without looking at
+def bucket_links(fp: np.ndarray, first: int, forest: Forest, most: int = MOST) -> list[tuple[int, int]]:
+    """Links that connect, within one large bucket, whatever is connected by chains from the segment `first`, without looking at
     all pairs: balls around hubs first; two balls are compared only if their hubs are near enough and nothing joins them yet."""
     out, hubs, balls, reach, rest = [], [], [], [], fp
     while len(rest):
-        far = np.bitwise_count(rest ^ rest[0])
-        ball = rest[far <= most]
+        x = rest ^ rest[0]
+        near = chain_holds(x, np.full(len(x), first))
+        ball = rest[near]
         hub = int(rest[0])
         out += [(hub, y) for y in ball[1:].tolist() if forest.joins(hub, y)]
         hubs.append(rest[0])
         balls.append(ball)
-        reach.append(int(far[far <= most].max()))
-        rest = rest[far > most]
+        reach.append(int(np.bitwise_count(x[near]).max()))
+        rest = rest[~near]
     hub, reach_ = np.array(hubs, dtype=np.uint64), np.array(reach)
     for i in range(len(hubs)):
         near = np.nonzero(np.bitwise_count(hub[i + 1 :] ^ hub[i]) <= most + reach_[i + 1 :] + reach_[i])[0] + i + 1
@@ -139,7 +113,7 @@ def bucket_links(fp: np.ndarray, forest: Forest, most: int = MOST) -> list[tuple
             if forest.root(int(hub[i])) == forest.root(int(hub[j])):
                 continue
             for x in balls[i]:
-                hit = np.nonzero(np.bitwise_count(balls[j] ^ x) <= most)[0]
+                hit = np.nonzero(chain_holds(balls[j] ^ x, np.full(len(balls[j]), first)))[0]
                 if len(hit):
                     forest.joins(int(x), y := int(balls[j][hit[0]]))
                     out.append((int(x), y))
@@ -147,13 +121,42 @@ def bucket_links(fp: np.ndarray, forest: Forest, most: int = MOST) -> list[tuple
     return out
 
 
+def flips(width: int, most: int) -> np.ndarray:
+    """Zero, and all numbers of that many bits of which 1 to `most` are set."""
+    out = {0}
+    for _ in range(most):
+        out |= {x | 1 << b for x in out for b in range(width)}
+    return np.array(sorted(out), dtype=np.uint64)
+
+
+def split_links(fp: np.ndarray, first: int, forest: Forest) -> list[tuple[int, int]]:
+    """As bucket_links, for a bucket of any size: a chain's third step allows two differing bits, so rows meet by their third
+    segment as it is and with up to two bits changed."""
+    third = (first + 2) % SEGMENTS
+    s = segments(fp)[:, third]
+    masks = flips(STARTS[third + 1] - STARTS[third], 3 * MOST // SEGMENTS)
+    out = []
+    for at in range(0, len(masks), 8):  # a few masks at a time bound the memory
+        part = masks[at : at + 8]
+        key = np.concatenate([s, *(s ^ m for m in part)])
+        who = np.tile(np.arange(len(fp)), len(part) + 1)
+        own = np.arange(len(key)) < len(fp)
+        order = np.lexsort((who, key))
+        key, who, own = key[order], who[order], own[order]
+        edge = np.nonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))[0]
+        for a, b in zip(edge[:-1][np.diff(edge) > 1].tolist(), edge[1:][np.diff(edge) > 1].tolist()):
+            if own[a:b].any():
+                out += bucket_links(fp[np.unique(who[a:b])], first, forest)
+    return out
+
+
 def run_links(key: np.ndarray, fp: np.ndarray, forest: Forest) -> list[tuple[int, int]]:
     """Links of whole buckets; rows come sorted by key."""
     edge = np.nonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))[0]
     start, size = edge[:-1], np.diff(edge)
     out = []
     for a, n in zip(start[size > PAIRWISE].tolist(), size[size > PAIRWISE].tolist()):
-        out += bucket_links(np.unique(fp[a : a + n]), forest)
+        out += (bucket_links if n <= BALLS else split_links)(np.unique(fp[a : a + n]), int(key[a] >> np.uint64(32)), forest)
     small = np.repeat((size > 1) & (size <= PAIRWISE), size)
     key, fp = key[small], fp[small]
     own = own_key(fp, key)
@@ -203,21 +206,38 @@ def links(fps: DataFrame) -> DataFrame:
     return fps.select("fp").mapInPandas(deal, "key long, fp long").repartition("key").sortWithinPartitions("key").mapInPandas(find, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
+def place(rows: DataFrame, groups: DataFrame, links_: DataFrame, key: str) -> DataFrame:
+    """rows: doc_id, h, key. groups: key, least (the smallest row), n (rows). Adds top (the smallest row of the component), null
+    where a row is alone."""
+    with scratch(rows.sparkSession) as made:
+        roots = components(links_).withColumnRenamed("node", key)
+        placed = groups.join(roots, key, "left").withColumn("root", F.coalesce("root", key))
+        tops = placed.groupBy("root").agg(F.min("least").alias("top"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("n")).where("members > 1")
+        shared = made.keep(join_shared(placed, tops, "root").where("top IS NOT NULL").select(key, "top", "n"), "components")
+    return join_shared(rows, shared, key)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, similarity: bool = False) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 lower-case hex digits), component_id, h, kept.
 
     Equal fingerprints are collapsed first (a minimum per fingerprint), so copies cost nothing after that; the distinct ones
-    are linked and their components found by distributed rounds; rows get their component by a salted join. component_id is
-    the smallest doc_id reachable over links; kept holds for that row (of rows with that id, for those with the smallest text
-    hash h). Null text counts as empty: fingerprint zero, linked like any other. Null ids take part but are no component's id
-    unless all its ids are null. Repeated rows each give a row. Only two columns are read.
+    are linked and their components found by distributed rounds; rows get their component by a join that keeps hot
+    components apart. component_id is the smallest doc_id reachable over links; kept holds for that row (of rows with that id, for
+    those with the smallest text hash h). Null text counts as empty: fingerprint zero, linked like any other; so do texts
+    without words. Texts of any length are read whole. Null ids take part but are no component's id
+    unless all its ids are null. Repeated rows each give a row, an empty table none. Only two columns are read.
+
+    With `similarity` rows are linked if the Jaccard similarity of their sets of word shingles is 0.8 or more: links of
+    fingerprints are checked for that, and the pairs whose fingerprints are further apart are found by jaccard.rest.
     """
+    if similarity:
+        return similar_duplicates(docs, id_col, text_col, words)
     rows = cut(fingerprints(docs, id_col, text_col, words), "fingerprints")
     groups = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("least"), F.count(F.lit(1)).alias("n"))
-    roots = components(links(rows.select("fp").distinct()))
-    placed = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    shared = placed.join(placed.groupBy("root").agg(F.min("least").alias("top"), F.sum("n").alias("members")), "root").where("members > 1").select("fp", "top")
-    found = join_shared(rows, shared, "fp")
+    return shown(place(rows, groups, links(rows.select("fp").distinct()), "fp"))
+
+
+def shown(found: DataFrame) -> DataFrame:
     alone = F.col("top").isNull()
     return found.select(
         "doc_id",
@@ -228,9 +248,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """docs without all but one row of each component, all columns as they are. Of repeated rows one stays."""
-    kept = near_duplicates(docs, id_col, text_col, words).where("kept").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("__k1"), F.col("h").alias("__k2")).distinct()
-    keyed = docs.withColumn("__k1", F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))).withColumn("__k2", F.xxhash64(text_col))
-    turn = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy(F.col(id_col)))
-    return keyed.join(kept, ["__k1", "__k2"], "left_semi").withColumn("__turn", turn).where("__turn = 1").select(docs.columns)
+def similar_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """See near_duplicates. Rows with one set of shingles are collapsed to a set s, and links are between sets."""
+    with scratch(docs.sparkSession) as made:
+        rows = made.keep(jaccard.rows_of(docs, id_col, text_col, words), "near-rows")
+        sets = cut(rows.select("s", "n", "fp", "prefix").dropDuplicates(["s"]), "near-sets")
+        # Links of fingerprints, and sets of one fingerprint, as pairs of sets.
+        heads = cut(sets.groupBy("fp").agg(F.min("s").alias("head"), F.count(F.lit(1)).alias("n")), "near-heads")
+        head = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head"))
+        near = links(heads.select("fp")).join(head("u"), "u").join(head("v"), "v").select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))
+        same = join_shared(sets.select("s", "fp"), heads.where("n > 1"), "fp").where("s != head").select(F.col("head").alias("u"), F.col("s").alias("v"))
+        near = cut(near.union(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-pairs")
+        found = cut(jaccard.similar(near, sets, rows, docs, text_col, words), "near-links")
+        found = made.keep(jaccard.rest(found, sets, rows, docs, text_col, words), "near-links")
+    rows = rows.select("doc_id", "h", "fp", "s")
+    groups = rows.groupBy("s").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("least"), F.count(F.lit(1)).alias("n"))
+    return shown(place(rows, groups, found, "s"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, similarity: bool = False) -> DataFrame:
+    """docs without all but one row of each component (see near_duplicates), all columns as they are, whatever their names. Of repeated rows one
+    stays, an empty table stays empty."""
+    k1, k2, turn = fresh(docs.columns, "k1", "k2", "turn")
+    names = dict(zip((k1, k2), row_key(id_col, text_col)))
+    near = near_duplicates(docs, id_col, text_col, words, similarity)
+    kept = near.where("kept").select(F.col("doc_id").alias(k1), F.col("h").alias(k2)).distinct()
+    keyed = docs.withColumn(k1, F.col(id_col).cast("long")).withColumn(k2, names[k2])
+    same = [keyed[k1].eqNullSafe(kept[k1]), keyed[k2] == kept[k2]]
+    one = keyed.join(kept, same, "left_semi").withColumn(turn, F.row_number().over(Window.partitionBy(k1, k2).orderBy(F.col(id_col))))
+    return one.where(F.col(turn) == 1).select(docs.columns)

@@ -1,6 +1,6 @@
 import random
 
-from eventspan.llm import jaccard, simhash
+from eventspan.llm import simhash
 
 
 def brute(texts, words=5, least=0.8):
@@ -37,11 +37,11 @@ def test_components_of_all_similar_pairs(spark):
     for _ in range(80):
         texts.append(" ".join(common + [word(r) for _ in range(r.randint(0, 4))]))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    got = {x.doc_id: x.component_id for x in jaccard.near_duplicates(df).collect()}
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(df, words=5, similarity=True).collect()}
     want = brute(texts)
     assert [got[i] for i in range(len(texts))] == want and len(set(want)) < len(texts)
-    left = [x.doc_id for x in jaccard.drop_near_duplicates(df).collect()]
+    left = [x.doc_id for x in simhash.drop_near_duplicates(df, words=5, similarity=True).collect()]
     assert sorted(left) == sorted(set(want))
     # SimHash at four bits keeps many of these copies.
     assert simhash.near_duplicates(df).where("kept").count() > len(left)
-    assert jaccard.near_duplicates(df.limit(0)).count() == 0
+    assert simhash.near_duplicates(df.limit(0), words=5, similarity=True).count() == 0

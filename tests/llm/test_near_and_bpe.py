@@ -34,6 +34,26 @@ def sets(roots):
     return sorted(map(sorted, out.values()))
 
 
+@pytest.mark.parametrize("first", range(5))
+def test_large_buckets_follow_the_chains(first):
+    """Balls and the split by the third segment connect what all pairs with a chain from the bucket's segment connect."""
+    r = np.random.default_rng(first)
+    base = r.integers(0, 2**64, 6, dtype=np.uint64)
+    fp = np.concatenate([base, *(base ^ np.uint64(sum(1 << int(b) for b in r.choice(64, r.integers(0, 4), replace=False))) for _ in range(90))])
+    fp = np.unique(fp)
+    pairs = [(int(a), int(b)) for i, a in enumerate(fp) for b in fp[i + 1 :][simhash.chain_holds(fp[i + 1 :] ^ a, np.full(len(fp) - i - 1, first))]]
+    want = simhash.Forest()
+    for a, b in pairs:
+        want.joins(a, b)
+    for find in (simhash.bucket_links, simhash.split_links):
+        got = simhash.Forest()
+        out = find(fp, first, simhash.Forest())
+        assert all(simhash.chain_holds(np.array([a ^ b], dtype=np.uint64), np.array([first])).all() for a, b in out)
+        for a, b in out:
+            got.joins(a, b)
+        assert [got.root(int(x)) for x in fp] == [want.root(int(x)) for x in fp]
+
+
 @pytest.mark.parametrize("shape", ["scattered", "dense", "drifting"])
 def test_links_join_what_all_pairs_join(spark, shape):
     r = random.Random(shape)
@@ -66,9 +86,9 @@ def test_links_join_what_all_pairs_join(spark, shape):
 
 
 def test_components(spark):
-    pairs = [(i, i + 1) for i in range(40)] + [(100, 101), (100, 102), (7, 7), (7, 8)]
+    pairs = [(i, i + 1) for i in range(40)] + [(100, 101), (100, 102), (7, 7), (7, 8)] + [(500, 1000 + i) for i in range(300)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
-    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100} | {i: 500 for i in (500, *range(1000, 1300))}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
@@ -83,7 +103,7 @@ def test_near_duplicates(spark):
     r = random.Random(5)
     base = [r.choice(["the", "On", "ñu", "re\x0bal", "x"]) + str(r.randrange(50)) for _ in range(300)]
     rows = [(1, None), (2, ""), (3, " \t"), (4, "A b"), (5, "a B"), (None, "a b"), (6, " ".join(base)), (7, " ".join(base[:150] + ["zz"] + base[150:])), (7, " ".join(base)), (9, "solo words that stand quite alone here " * 3)]
-    df = spark.createDataFrame([(i, t, "en", "s", 1, 0) for i, t in rows], DOC + ", fp int")
+    df = spark.createDataFrame([(i, t, "en", "s", 1, 0, i) for i, t in rows], DOC + ", fp int, __K1 long")
     got = simhash.near_duplicates(df).collect()
     assert len(got) == len(rows)
     fps = sorted({plain_fingerprint(t) for _, t in rows})
