@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words
+from .common import cut, fresh, join_shared, n_words, row_key
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BUCKET_ROWS = 5_000
@@ -42,7 +40,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken, text_hash.
 
-    Each row gets a hash-random key. Rows are dealt by source and by equal ranges of the key, sorted there, and a prefix sum
+    Each row gets a hash-random key. Rows are dealt by source and by equal ranges of the key, as many as the source has rows for, sorted there, and a prefix sum
     runs inside each range; the sums of the ranges before it come from one small row per source and range. The source's
     whole words of target are cut exactly: whole epochs first, then rows in key order, the last one in part. A source of any
     size is spread over as many ranges as it has rows for, so none of it meets in one task.
@@ -57,15 +55,16 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: st
             F.col(id_col).cast("long").alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             n_words(text).alias("size"),
-            F.xxhash64(text).alias("text_hash"),
+            row_key(id_col, text_col)[1].alias("text_hash"),
             F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("key"),
         ),
         "mix",
     )
-    ranges = 2 ** max(0, math.ceil(math.log2(max(1, slim.count() / bucket_rows))))
-    slim = slim.withColumn("skey", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).withColumn(
-        "range_", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(ranges) / F.lit(2**32))
-    )
+    slim = slim.withColumn("skey", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    large = slim.groupBy("skey").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
+    large = large.select("skey", F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / bucket_rows))).cast("long").alias("ranges"), "n")
+    place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.coalesce("ranges", F.lit(1)) / F.lit(2**32)
+    slim = join_shared(slim, large, "skey").withColumn("range_", F.floor(place)).drop("ranges")
     parts = slim.groupBy("skey", "range_").agg(F.sum("size").alias("part"), F.first("source").alias("source"))
     sources = targets(parts.groupBy("skey").agg(F.sum("part").alias("source_size"), F.first("source").alias("source")), weights, share, most)
     ahead = Window.partitionBy("skey").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
@@ -81,17 +80,17 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: st
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixture itself: each row as often as the mix takes it, whole, and the last one of a source in part, cut after a
-    word. All columns as they are but the text of a row in part. Rows of which nothing is taken go, rows without words too.
-    Rows with equal id and text count as one that is taken for all of them."""
-    keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("__k1"), F.xxhash64(text_col).alias("__k2")]
+    word. All columns as they are, whatever their names, but the text of a row in part. Rows of which nothing is taken go, rows without words too
+    (null and empty texts). Rows with equal id and text count as one that is taken for all of them. An empty table gives no rows."""
+    k1, k2, turn, size, taken, copy = fresh(docs.columns, "k1", "k2", "turn", "size", "taken", "copy")
+    key = row_key(id_col, text_col)
     plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("taken > 0")
-    plan = plan.groupBy(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("__k1"), F.col("text_hash").alias("__k2")).agg(F.max("size").alias("__size"), F.sum("taken").alias("__taken"))
-    one = docs.select("*", *keys).withColumn("__turn", F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy(F.col(id_col)))).where("__turn = 1")
-    copies = F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int"))
-    rows = one.join(plan, ["__k1", "__k2"]).withColumn("__copy", F.explode(copies))
-    rest = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
+    plan = plan.groupBy(F.coalesce("doc_id", F.lit(2**63 - 1)).alias(k1), F.col("text_hash").alias(k2)).agg(F.max("size").alias(size), F.sum("taken").alias(taken))
+    one = docs.withColumn(k1, key[0]).withColumn(k2, key[1]).withColumn(turn, F.row_number().over(Window.partitionBy(k1, k2).orderBy(F.col(id_col)))).where(F.col(turn) == 1)
+    rows = one.join(plan, [k1, k2]).withColumn(copy, F.explode(F.sequence(F.lit(1), F.ceil(F.col(taken) / F.col(size)).cast("int"))))
+    rest = F.col(taken) - (F.col(copy) - 1) * F.col(size)
     part = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.greatest(rest, F.lit(1)).cast("int")), "")
-    return rows.select(*[F.when(rest < F.col("__size"), part).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return rows.select(*[F.when(rest < F.col(size), part).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
 SQL = """
