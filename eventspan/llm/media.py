@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, cut, frees_shuffles, map_texts, new_path
+from .common import cut, frees_shuffles, join_shared, map_texts, new_path, small
 
 UNIT = 576
 LEAST, MOST, CUT_BITS = 2048, 32768, 12
@@ -104,7 +104,7 @@ def write_chunks(docs: DataFrame, path: str, buckets: int, id_col: str = "doc_id
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in small(batches):
             rows, held = [], 0
             for text in batch["text"]:
                 for c in chunks_of(payload_of(text)):
@@ -128,39 +128,38 @@ def write_chunks(docs: DataFrame, path: str, buckets: int, id_col: str = "doc_id
     return name
 
 
-def rebuild(entries: DataFrame, store: DataFrame, hot_uses: int = HOT_USES, salts: int = SALTS) -> DataFrame:
-    """entries: payload, n_bytes, seq, digest. Returns a row per payload with what its rebuilt bytes and stored form show.
+def rebuild(entries: DataFrame, store: DataFrame, hot_uses: int = HOT_USES) -> DataFrame:
+    """entries: payload, n_bytes, n, seq, digest. Returns a row per payload with n and what its rebuilt bytes and stored form show.
 
-    Entries meet the store's buckets by digest; the bytes move once, to their payload. Digests with very many uses are few
-    and listed first; they are joined apart, with a copy of the chunk for each salt. Chunks are put in order and the whole
-    is verified by its digest, one payload at a time.
+    Entries meet the store's buckets by digest; the bytes move once, to their payload. Digests of more than hot_uses entries and
+    of more than a partition's share of them are at most as many as partitions: their chunks are broadcast. Chunks are put in
+    order and the whole is verified by its digest, one payload at a time.
     """
-    uses = entries.groupBy("digest").agg(F.count(F.lit(1)).alias("uses")).where(F.col("uses") > hot_uses)
-    hot = cut(uses.select("digest", F.lit(True).alias("hot")), "hot-chunks")
-    marked = entries.join(hot, "digest", "left")
-    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    cold = marked.where("hot IS NULL").drop("hot").hint("shuffle_hash").join(store, "digest")
-    many = marked.where("hot").drop("hot").withColumn("salt", F.pmod(F.xxhash64("payload"), F.lit(salts)).cast("int"))
-    many = many.join(store.join(hot.select("digest"), "digest", "left_semi").withColumn("salt", salt), ["digest", "salt"]).drop("salt")
+    spark = entries.sparkSession
+    uses = cut(entries.groupBy("digest").agg(F.count(F.lit(1)).alias("uses")).where(F.col("uses") > hot_uses), "hot-chunks")
+    share = F.col("uses") > (uses.agg(F.sum("uses")).first()[0] or 0) / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = uses.where(share).select("digest")
+    cold = entries.join(F.broadcast(hot), "digest", "left_anti").hint("shuffle_hash").join(store, "digest")
+    many = entries.join(F.broadcast(store.join(F.broadcast(hot), "digest", "left_semi")), "digest")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["payload", "payload_bytes", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        at, n_bytes, digests, parts, stored, rows = None, 0, [], [], [], []
+        columns = ["payload", "n", "payload_bytes", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        at, n_bytes, many, digests, parts, stored, rows = None, 0, 0, [], [], [], []
 
         def close():
             data = b"".join(parts)
             if hashlib.sha256(data).digest() != at:
                 raise ValueError("a payload rebuilt from its chunks differs from its digest")
             form = recipe(n_bytes, digests) + b"".join(stored)
-            rows.append((at, len(data), zlib.crc32(data[-32:]), len(form), hashlib.sha256(form).hexdigest(), feature_of(data)))
+            rows.append((at, many, len(data), zlib.crc32(data[-32:]), len(form), hashlib.sha256(form).hexdigest(), feature_of(data)))
 
         for batch in batches:
-            for payload, n, data in zip(batch["payload"], batch["n_bytes"], batch["data"]):
+            for payload, n, count, data in zip(batch["payload"], batch["n_bytes"], batch["n"], batch["data"]):
                 payload, data = bytes(payload), bytes(data)
                 if payload != at:
                     if at is not None:
                         close()
-                    at, n_bytes, digests, parts, stored = payload, n, [], [], []
+                    at, n_bytes, many, digests, parts, stored = payload, n, count, [], [], []
                 chunk = bz2.decompress(data)
                 digests.append(chunk_key(chunk))
                 parts.append(chunk)
@@ -171,16 +170,16 @@ def rebuild(entries: DataFrame, store: DataFrame, hot_uses: int = HOT_USES, salt
             close()
             yield pd.DataFrame(rows, columns=columns)
 
-    columns = ["payload", "n_bytes", "seq", "data"]
+    columns = ["payload", "n_bytes", "n", "seq", "data"]
     ordered = cold.select(columns).union(many.select(columns)).repartition("payload").sortWithinPartitions("payload", "seq")
-    return ordered.mapInPandas(run, "payload binary, payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return ordered.mapInPandas(run, "payload binary, n long, payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
 
     The stored form is the ordered chunk list followed by its stored chunks; chunks that payloads share are stored once.
-    Equal texts have one payload: it is rebuilt once and its row joined to all of them. Null text counts as empty and is 576
+    Equal texts have one payload: it is rebuilt once and its row joined to all of them, hot ones apart. Null text counts as empty and is 576
     filling bytes. Repeated rows and null ids each give a row; empty tables none. Only two columns are read.
     """
     spark = docs.sparkSession
@@ -189,10 +188,7 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     name = write_chunks(docs, new_path(spark, "chunks"), buckets, id_col, text_col)
     store = spark.table(name)
-    entries = lists.groupBy("payload").agg(F.first("n_bytes").alias("n_bytes"), F.first("digests").alias("digests")).select("payload", "n_bytes", F.posexplode("digests").alias("seq", "digest"))
-    out = lists.drop("digests").join(rebuild(entries, store), "payload").select(
-        "doc_id", "n_bytes", "payload_bytes", F.lower(F.hex("payload")).alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature"
-    )
-    out.schema  # resolved; the files stay when the name goes
+    entries = lists.groupBy("payload").agg(F.first("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("n"), F.first("digests").alias("digests")).select("payload", "n_bytes", "n", F.posexplode("digests").alias("seq", "digest"))
+    found = join_shared(lists.drop("digests"), rebuild(entries, store), "payload")
     spark.sql(f"DROP TABLE {name}")
-    return out
+    return found.select("doc_id", "n_bytes", "payload_bytes", F.lower(F.hex("payload")).alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature")
