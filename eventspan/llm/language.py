@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +20,7 @@ STEPS, BATCH, RATE = 500, 128, 0.01
 #: Bound of the fit: about so many rows of each language, with so many windows of each.
 ROWS_PER_LANGUAGE, WINDOWS_PER_ROW = 1500, 3
 UNKNOWN = "und"
-has_letter = re.compile(r"[^\W\d_]").search
+has_letter = regex.compile(r"\p{L}").search
 MARGIN = max(WIDTHS) - 1
 BLOCK = 64
 
