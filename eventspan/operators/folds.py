@@ -144,3 +144,45 @@ def one_to_one(refs: DataFrame, dets: DataFrame, key: str, ref_t: str, det_t: st
 
     out = fold_sorted(both, [key], [F.asc("t"), F.asc("ref")], fold)
     return out.select(key, F.col("t").alias(ref_t), F.when(F.col("det") != NONE, F.col("det")).alias(det_t))
+
+
+def one_to_one_collars(refs: DataFrame, dets: DataFrame, key: str, ref_t: str, det_t: str, collars: list[int]) -> DataFrame:
+    """collar, key, ref_t, det_t: one_to_one at several collars over one sorted stream, the earlier of equals first."""
+    r = refs.select(F.lit(0).cast("long").alias("collar"), key, F.col(ref_t).alias("t"), F.lit(1).alias("ref"), F.lit(NONE).alias("det"))
+    both = r.unionByName(dets.select(F.lit(0).cast("long").alias("collar"), key, F.col(det_t).alias("t"), F.lit(0).alias("ref"), F.lit(NONE).alias("det")))
+    names = both.columns
+    k, t, is_ref = names.index(key), names.index("t"), names.index("ref")
+
+    def fold():
+        free: list[list[int]] = [[] for _ in collars]
+        waiting: list[list[tuple]] = [[] for _ in collars]
+
+        def settle(i, row):
+            at, mine, best = row[t], free[i], None
+            for j in range(bisect_left(mine, at - collars[i]), len(mine)):
+                if mine[j] > at + collars[i]:
+                    break
+                if best is None or abs(mine[j] - at) < abs(mine[best] - at):
+                    best = j
+            return (collars[i], row[k], at, 1, mine.pop(best) if best is not None else NONE)
+
+        def step(row):
+            out = []
+            for i, collar in enumerate(collars):
+                done = 0
+                while done < len(waiting[i]) and waiting[i][done][t] + collar < row[t]:
+                    out.append(settle(i, waiting[i][done]))
+                    done += 1
+                del waiting[i][:done]
+                first = waiting[i][0][t] if waiting[i] else row[t]
+                del free[i][: bisect_left(free[i], first - collar)]
+                if row[is_ref]:
+                    waiting[i].append(row)
+                else:
+                    free[i].append(row[t])
+            return out
+
+        return step, lambda: [settle(i, x) for i in range(len(collars)) for x in waiting[i]]
+
+    out = fold_sorted(both, [key], [F.asc("t"), F.asc("ref")], fold)
+    return out.select("collar", key, F.col("t").alias(ref_t), F.when(F.col("det") != NONE, F.col("det")).alias(det_t))

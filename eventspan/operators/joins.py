@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,22 @@ def best_near(left: DataFrame, right: DataFrame, keys: list[str], left_id: str,
     """The largest score near each left row; of equals the first in `order`."""
     pairs = band_join(left, right, keys, left_t, right_t, reach)
     return pairs.groupBy(*keys, left_id).agg(F.min(F.struct((-F.col(score)).alias("s"), *order)).alias("b"))
+
+
+def nearest_any(left: DataFrame, right: DataFrame, key: str, left_t: str, right_t: str, order: list[Column]) -> DataFrame:
+    """left with `nearest`: struct of dist, t and the `order` columns of the nearest right row of its key, at any distance; null
+    without any. Of equals the earlier, then the first in `order`.
+
+    Both sides are one series by time: the last right row up to a left one and the first from it on are all that can be nearest.
+    """
+    rest = [c for c in left.columns if c != key]
+    a = left.select(key, F.col(left_t).alias("__t"), F.struct(*rest).alias("__row"))
+    r = right.groupBy(key, F.col(right_t).alias("__t")).agg(F.min(F.struct(F.col(right_t).alias("t"), *order)).alias("__r"))
+    both = a.unionByName(r, allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy("__t")
+    back = F.last("__r", True).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    ahead = F.first("__r", True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    x = both.withColumn("__a", back).withColumn("__b", ahead).where("__row IS NOT NULL")
+    names = [f.name for f in r.schema["__r"].dataType.fields]
+    far = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.t") - F.col("__t")).alias("dist"), *[F.col(f"{c}.{n}").alias(n) for n in names]))
+    return x.select(key, *[F.col(f"__row.{c}").alias(c) for c in rest], F.least(far("__a"), far("__b")).alias("nearest"))

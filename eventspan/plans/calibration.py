@@ -12,11 +12,11 @@ from .gating import SMOOTH_SQL, event_frames, event_frames_sql, islands_sql, smo
 from .picture import FLASH_SQL, flash_rows
 from .registry import K, query
 
-MARK_SQL = "mk AS (SELECT event_id, clip, at_idx FROM ef WHERE event_id % 2 = 0)"
+MARK_SQL = "mk AS (SELECT event_id, clip, at_idx FROM ef)"
 
 
 def marks(spark, sf):
-    return event_frames(spark, sf, 20000).where("event_id % 2 = 0").select("event_id", "clip", "at_idx")
+    return event_frames(spark, sf, 20000).select("event_id", "clip", "at_idx")
 
 
 @query(f"""WITH {FLASH_SQL}, {event_frames_sql(20000)}, {MARK_SQL},
@@ -114,7 +114,7 @@ def decay_tail(spark, sf):
 PEAK_SQL = f"""{G_SQL}, {event_frames_sql(15000)},
 wk AS (SELECT *, quantile_cont(value, 0.5) OVER b AS bed, count(*) OVER b AS nb, lag(value) OVER w AS l, lead(value) OVER w AS r, max(value) OVER (PARTITION BY clip) AS top FROM g WINDOW w AS (PARTITION BY clip ORDER BY frame_idx), b AS (PARTITION BY clip ORDER BY frame_idx ROWS BETWEEN 13 PRECEDING AND 2 PRECEDING)),
 pk AS (SELECT clip, frame_idx, value, CASE WHEN nb < 4 THEN 0.0 WHEN bed <= 0 THEN 999.0 ELSE least(value / bed, 999.0::DOUBLE) END AS sharp FROM wk WHERE value >= 0.06::DOUBLE * top AND value >= coalesce(l, -1) AND value >= coalesce(r, -1)),
-sd AS (SELECT DISTINCT clip, at_idx AS m_at FROM ef WHERE event_id % 4 = 0), sc AS (SELECT DISTINCT clip, at_idx AS m_at FROM ef WHERE event_id % 4 = 1),
+sd AS (SELECT DISTINCT clip, at_idx AS m_at FROM ef WHERE event_id % 2 = 0), sc AS (SELECT DISTINCT clip, at_idx AS m_at FROM ef WHERE event_id % 2 = 1),
 an AS (SELECT pk.clip, frame_idx AS m_at FROM pk JOIN (SELECT clip, max(value) AS top FROM g GROUP BY clip) USING (clip) WHERE value >= 0.7::DOUBLE * top AND sharp >= 3),
 rf AS (SELECT sd.clip, quantile_cont(value, 0.5) AS ref FROM sd JOIN g ON g.clip = sd.clip AND frame_idx = m_at GROUP BY sd.clip),
 ft AS (SELECT pk.*, ref, EXISTS (SELECT 1 FROM sc WHERE sc.clip = pk.clip AND abs(m_at - frame_idx) <= 1) AS scored, EXISTS (SELECT 1 FROM an WHERE an.clip = pk.clip AND m_at != frame_idx AND abs(m_at - frame_idx) <= 6) AS volley, EXISTS (SELECT 1 FROM sd WHERE sd.clip = pk.clip AND abs(m_at - frame_idx) <= 6) AS seeded FROM pk JOIN rf ON rf.clip = pk.clip),
@@ -134,7 +134,7 @@ def promote_transients(spark, sf):
     sharp = F.when(F.col("nb") < 4, 0.0).when(F.col("bed") <= 0, 999.0).otherwise(F.least(F.try_divide("value", "bed"), F.lit(999.0)))
     peaks = m.where((v >= F.lit(0.06) * F.col("top")) & (v >= F.coalesce("l", F.lit(-1.0))) & (v >= F.coalesce("r", F.lit(-1.0)))).select("clip", "frame_idx", "value", "top", sharp.alias("sharp"))
     ev = event_frames(spark, sf, 15000)
-    known, scored = (ev.where(f"event_id % 4 = {i}").select("clip", F.col("at_idx").alias("m_at")).distinct() for i in (0, 1))
+    known, scored = (ev.where(f"event_id % 2 = {i}").select("clip", F.col("at_idx").alias("m_at")).distinct() for i in (0, 1))
     anchors = peaks.where((v >= F.lit(0.7) * F.col("top")) & (F.col("sharp") >= 3)).select("clip", F.col("frame_idx").alias("m_at"))
     ref = known.join(g.withColumnRenamed("frame_idx", "m_at"), ["clip", "m_at"]).groupBy("clip").agg(F.percentile("value", 0.5).alias("ref"))
     p, id_ = peaks.join(ref, "clip"), ["clip", "frame_idx"]

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..operators import folds, joins, metrics
+from ..operators import folds, joins
 from ..session import table
 from . import derived as d
 from .derived import E_SQL, HOUR, MINUTE, S_SQL
@@ -96,19 +96,3 @@ u AS (SELECT clip, unnest(l) AS w FROM r) SELECT clip, w[1] AS t_us, w[2] AS end
 def merge_windows(spark, sf):
     s = d.spans(spark, sf).select("clip", "t_us", "end_us", F.col("t_us").alias("centre"), "cents")
     return folds.merge_windows(s, K, "t_us", "end_us", "centre", "cents", 30 * MINUTE, 2 * HOUR)
-
-
-@query()
-def event_prf_multi_collar(spark, sf):
-    """Precision, recall and f1 over all clips at several collars."""
-    e = d.events(spark, sf)
-    refs = e.where("category = 'purchase'").select("clip", F.col("t_us").alias("ref_us"))
-    dets = e.where("category = 'click'").select("clip", F.col("t_us").alias("det_us"))
-    n = refs.agg(F.count(F.lit(1)).alias("refs")).crossJoin(F.broadcast(dets.agg(F.count(F.lit(1)).alias("dets"))))
-    out = None
-    for hours in (1, 3, 6):
-        hit = folds.one_to_one(refs, dets, "clip", "ref_us", "det_us", hours * HOUR)
-        t = hit.agg(F.count("det_us").alias("tp"), F.round(F.avg(F.abs(F.col("det_us") - F.col("ref_us"))) / 1e6, 3).alias("mean_error_sec"))
-        row = t.crossJoin(F.broadcast(n)).select(F.lit(hours).alias("collar_hours"), "tp", (F.col("dets") - F.col("tp")).alias("fp"), (F.col("refs") - F.col("tp")).alias("fn"), "mean_error_sec")
-        out = row if out is None else out.unionByName(row)
-    return metrics.with_prf(out)
