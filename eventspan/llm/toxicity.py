@@ -9,10 +9,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, map_texts
+from .common import crc_mod, cut, map_texts, scratched
 
 #: Bounds of the fit; scoring has none.
 MAX_FIT_ROWS = 20_000
@@ -198,6 +198,7 @@ def testable(sizes: list[tuple[int, int]], share: float) -> tuple[int, float]:
     return 2**62, float("inf")
 
 
+@scratched
 def fit(labelled: DataFrame, max_terms: int = MAX_TERMS, max_examples: int = MAX_EXAMPLES) -> Index:
     """labelled: doc_id, text, toxic (0 or 1), of a bounded number of rows (see training_rows).
 
@@ -246,8 +247,7 @@ def fit(labelled: DataFrame, max_terms: int = MAX_TERMS, max_examples: int = MAX
     few = {y: min(total[y], max(max_examples // 2, max_examples - total[1 - y])) for y in (0, 1)}
     stands = tuple(total[y] / few[y] for y in (0, 1))
     stands = tuple(x / min(stands) for x in stands)
-    turn = F.row_number().over(Window.partitionBy("toxic").orderBy("h"))
-    picked = rows.select("toxic", "h").withColumn("turn", turn).where(F.col("turn") <= F.when(F.col("toxic") == 1, few[1]).otherwise(few[0])).drop("turn")
+    picked = rows.where("toxic = 0").select("toxic", "h").orderBy("h").limit(few[0]).union(rows.where("toxic = 1").select("toxic", "h").orderBy("h").limit(few[1]))
     seen = cut(rows.join(F.broadcast(picked), ["toxic", "h"], "left_semi").select("h", "doc_id", "toxic", "text").mapInPandas(vectors, "h long, doc_id long, toxic int, terms array<int>, counts array<int>"), "toxicity-vectors")
     examples = [(r.doc_id, r.toxic, r.terms, r.counts, (r.h, r.toxic)) for r in seen.where(F.size("terms") > 0).collect()]
     index = Index.build(terms, weight, examples, prior, prior, stands)

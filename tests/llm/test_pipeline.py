@@ -95,3 +95,22 @@ def test_mixture_against_the_plain_rule(spark):
         assert {(x.doc_id, by[x.doc_id]): x.taken for x in got if x.taken} == {k: v for k, v in want.items() if v}
         assert all(x.taken <= 2 * x.size for x in got)
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_empty_tables_long_texts_and_clashing_names(spark, tmp_path):
+    long = "\n".join(f"word{i} other{i % 97} end" for i in range(30_000))
+    rows = [(i, long if i == 5 else f"text number {i} of {i * 7}", "en", "s", i, "k", 7, 1) for i in range(12)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", __k1 string, __turn int, __COPY int")
+    spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/a/labels.parquet")
+    for part, n in ((docs, 12), (docs.limit(0), 0)):
+        at = f"{tmp_path}/a"
+        for name, stage in corpus_pipeline.STAGES[:3]:
+            part = stage(spark, part, at)
+            assert part.columns == docs.columns and part.count() == n, name
+            assert n == 0 or {(r["__k1"], r["__turn"], r["__COPY"]) for r in part.collect()} == {("k", 7, 1)}
+        mixed = corpus_pipeline.mix_sources(spark, part, at)
+        assert mixed.columns == docs.columns and {r["__turn"] for r in mixed.collect()} <= {7}
+        assert corpus_pipeline.encode(spark, mixed, at).count() == mixed.count() >= n
+    docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/b/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
