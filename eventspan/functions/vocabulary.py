@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from .labels import CATEGORIES, SCENES, normalize_label
 
-# Labels of the picture and of context, and thresholds of their own, by category.
-VIDEO = {"gunshot": ["shooting", "playing paintball"], "explosion": ["blasting sand", "exploding"], "smash": ["smashing", "breaking boards"], "vehicle": ["driving car", "driving tractor", "riding a bike", "motorcycling"]}
-CONTEXT = {"gunshot": ["gunfire"], "explosion": ["explosion", "thunder"], "car_crash": ["car crash"], "vehicle": ["engine", "truck"]}
+# Labels of the picture and of context, by category.
+VIDEO = {"gunshot": ["shooting gun", "playing paintball"], "explosion": ["exploding firecrackers"], "vehicle": ["driving car", "riding a bike", "motorcycling"]}
+CONTEXT = {"gunshot": ["gunshot", "gunfire"], "explosion": ["explosion", "boom", "artillery", "cannon"], "vehicle": ["engine_rumble", "vehicle", "tank"]}
+# Settings that categories may have of their own, and those in the gate.
 HIGH, LOW = {"gunshot": 0.6, "vehicle": 0.35}, {"vehicle": 0.7, "smash": -0.1}
-GATED = {"gunshot", "explosion", "smash", "car_crash"}
+GATED = {"gunshot", "explosion", "smash", "car_crash", "vehicle"}
+# Which pools a source's labels are looked up in.
 SOURCES = {"audio": ("audio", "context"), "audioset": ("audio", "context"), "context": ("audio", "context"), "video": ("video",), "kinetics": ("video",), "context_token": ("context",)}
 
 

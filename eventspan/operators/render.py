@@ -41,3 +41,12 @@ def mix(frames: DataFrame, placed: DataFrame, keys: list[str], idx: str, bed: st
     sums = parts.select(*keys, idx, F.round(sample * 1e6).cast("long").alias("__u")).groupBy(*keys, idx).agg(F.sum("__u").alias("__u"))
     total = F.col(bed) + F.coalesce("__u", F.lit(0)) / F.lit(1e6)
     return frames.join(sums, [*keys, idx], "left").select(*keys, idx, F.greatest(F.lit(-limit), F.least(F.lit(limit), total)).alias("value"))
+
+
+def cut_clips(events: DataFrame, frames: DataFrame, keys: list[str], id_: str, start: str, end: str, idx: str, value: str) -> DataFrame:
+    """id, first_idx, n, samples of the frames from start to before end; what lies outside the series is left out. An event is dealt
+    to the frames it asks for, so the join is by equality."""
+    at = F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col(start)), F.col(end) - 1)).alias(idx)
+    near = events.where(F.col(end) > F.greatest(F.lit(0).cast("long"), F.col(start))).select(*keys, id_, at).join(frames.select(*keys, idx, value), [*keys, idx])
+    g = near.groupBy(id_).agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col(value).alias("v")))).alias("l"))
+    return g.select(id_, F.element_at("l", 1)["i"].alias("first_idx"), F.size("l").cast("long").alias("n"), F.transform("l", lambda x: x["v"]).alias("samples"))

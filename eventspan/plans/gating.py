@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import adaptive, frames, loud
+from ..session import settled
 from . import derived as d
 from .derived import ADAPTIVE_SQL, G_SQL, HOUR, smooth_sql
 from .registry import K, query
@@ -114,7 +115,7 @@ lone AS (SELECT ef.*, curve.value, curve.floor FROM ef JOIN curve ON curve.clip
 
 def gate(spark, sf):
     """Islands with the strongest event inside them, and the events outside all islands with level and floor at their frame."""
-    c = curve(spark, sf).persist()  # read three times
+    c = settled(curve(spark, sf))  # read three times
     isl = loud.loud_islands(c, K, "frame_idx", "value", "smooth", "floor", 3, 1, reach=2)
     inside = isl.select("clip", "lo_idx", F.explode(F.sequence("lo_idx", "hi_idx")).alias("at_idx"))
     ev = event_frames(spark, sf, 2000)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import adaptive, loud
+from ..session import settled
 from . import derived as d
 from .derived import ADAPTIVE_SQL, HOUR, S_SQL
 from .gating import SMOOTH_SQL, event_frames, event_frames_sql, islands_sql, smooth
@@ -68,8 +69,8 @@ def whole(spark, sf) -> tuple[DataFrame, DataFrame]:
     """The gate's rows, and those of the lasting events outside all stretches with their level, floor and loud surroundings."""
     sm, (blasts, lasting) = smooth(spark, sf), roles(spark, sf)
     st = stats(sm, blasts)
-    fl = sm.join(st.select("clip", F.col("threshold").alias("floor"), "unimodal"), "clip")
-    isl = loud.loud_islands(fl.where("NOT unimodal"), K, "frame_idx", "value", "smooth", "floor", LEAST, 1, reach=2)
+    fl = settled(sm.join(st.select("clip", F.col("threshold").alias("floor"), "unimodal"), "clip"))
+    isl = settled(loud.loud_islands(fl.where("NOT unimodal"), K, "frame_idx", "value", "smooth", "floor", LEAST, 1, reach=2))
     cover = lambda a, b: F.explode(F.sequence(a, b)).alias("at_idx")
     lo, hi = F.col("lo_idx"), F.col("hi_idx")
     at_peak = isl.select("clip", "lo_idx", cover(F.col("peak_idx") - 1, F.col("peak_idx") + 1)).join(blasts, ["clip", "at_idx"], "left_semi").select("clip", "lo_idx")
@@ -80,7 +81,7 @@ def whole(spark, sf) -> tuple[DataFrame, DataFrame]:
     best = go.select("clip", "lo_idx", cover(lo, hi)).join(frames(lasting, 1), ["clip", "at_idx"]).groupBy("clip", "lo_idx").agg(strongest.alias("b"))
     template = lasting.groupBy("clip").agg(strongest.alias("t"))
     stretch = go.join(best, ["clip", "lo_idx"], "left").join(template, "clip").select("clip", "lo_idx", "hi_idx", (-F.coalesce("b", "t")["i"]).alias("event_id"), F.col("b").isNull().alias("by_level"), F.lit("stretch").alias("how"))
-    one = lasting.join(st.where("unimodal").select("clip"), "clip", "left_semi").select("clip", F.col("at_idx").alias("lo_idx"), F.col("to_idx").alias("hi_idx"), "event_id", F.lit(False).alias("by_level"), F.lit("one mode").alias("how"))
+    one = lasting.join(fl.select("clip", "unimodal").distinct().where("unimodal").select("clip"), "clip", "left_semi").select("clip", F.col("at_idx").alias("lo_idx"), F.col("to_idx").alias("hi_idx"), "event_id", F.lit(False).alias("by_level"), F.lit("one mode").alias("how"))
     touched = isl.select("clip", cover(lo, hi)).join(frames(lasting, 0), ["clip", "at_idx"]).select("event_id").distinct()
     lone = lasting.join(touched, "event_id", "left_anti").join(fl.where("NOT unimodal").select("clip", F.col("frame_idx").alias("at_idx"), F.col("value").alias("level"), "floor"), ["clip", "at_idx"])
     near = lone.withColumn("o", F.explode(F.sequence(F.lit(-4), F.lit(4)))).withColumn("frame_idx", F.col("at_idx") + F.col("o")).join(fl.select("clip", "frame_idx", "value"), ["clip", "frame_idx"])
