@@ -172,7 +172,7 @@ def across(large: DataFrame) -> DataFrame:
     return large.repartition("key").sortWithinPartitions("key", "at", "s").mapInPandas(find, "u long, v long").distinct()
 
 
-def similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:
+def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:
     """Those of the distinct pairs of sets that are similar. First by their prefixes: what two sets share beyond both prefixes is no
     more than the longer rest. Then by the full sets, read again from a text of each; a filter of a fixed size keeps other texts out."""
     end = lambda c: sets.select(F.col("s").alias(c), F.col("n").alias(f"{c}_n"), F.col("prefix").alias(f"{c}_prefix"))
@@ -181,7 +181,7 @@ def similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, docs: DataFrame,
     most = F.size(F.array_intersect("u_prefix", "v_prefix")) + beyond
     some = cut(some.where((NUM + DEN) * most >= NUM * (F.col("u_n") + F.col("v_n"))).select("u", "v"), "near-some")
     ends = some.select(F.col("u").alias("s")).union(some.select(F.col("v").alias("s"))).distinct()
-    need = cut(rows.select("s", "t").join(ends, "s", "left_semi").groupBy("s").agg(F.min("t").alias("t")), "near-need")
+    need = cut(sets.select("s", "t").join(ends, "s", "left_semi"), "near-need")
     texts = may_have(docs.select(F.xxhash64(text_of(text_col)).alias("t"), text_of(text_col).alias("text")), bitmap(need.select("t")), "t").where("__may").select("t", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,7 +198,7 @@ def similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, docs: DataFrame,
     return both.where((NUM + DEN) * shared >= NUM * (F.size("x") + F.size("y"))).select("u", "v")
 
 
-def rest(links: DataFrame, sets: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:
+def rest(links: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:
     """The links given and others that connect, with them, what all similar pairs of sets connect.
 
     Every similar pair shares a shingle of both prefixes, and passes the filters at the first such. Pairs are compared in full, but
@@ -207,10 +207,10 @@ def rest(links: DataFrame, sets: DataFrame, rows: DataFrame, docs: DataFrame, te
     rooted = lambda df, found: df.join(components(found).withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
     found = cut(candidates(rooted(sets.select("s", "n", "prefix"), links)), "near-buckets")
     first = cut(found.where("key IS NULL").select("u", "v").distinct(), "near-pairs")
-    links = cut(links.union(similar(first, sets, rows, docs, text_col, words)), "near-links")
+    links = cut(links.union(similar(first, sets, docs, text_col, words)), "near-links")
     large = found.where("key IS NOT NULL").select("key", F.col("u").alias("s"), "n", "at")
     if not large.isEmpty():
         more = cut(across(rooted(large, links).select("key", "s", "n", "at", "root")).join(first, ["u", "v"], "left_anti"), "near-rest")
         if not more.isEmpty():
-            links = links.union(similar(more, sets, rows, docs, text_col, words))
+            links = links.union(similar(more, sets, docs, text_col, words))
     return links

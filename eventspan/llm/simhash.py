@@ -252,15 +252,15 @@ def similar_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int)
     """See near_duplicates. Rows with one set of shingles are collapsed to a set s, and links are between sets."""
     with scratch(docs.sparkSession) as made:
         rows = made.keep(jaccard.rows_of(docs, id_col, text_col, words), "near-rows")
-        sets = cut(rows.select("s", "n", "fp", "prefix").dropDuplicates(["s"]), "near-sets")
+        sets = cut(rows.select("s", "n", "t", "fp", "prefix").dropDuplicates(["s"]), "near-sets")
         # Links of fingerprints, and sets of one fingerprint, as pairs of sets.
         heads = cut(sets.groupBy("fp").agg(F.min("s").alias("head"), F.count(F.lit(1)).alias("n")), "near-heads")
         head = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head"))
         near = links(heads.select("fp")).join(head("u"), "u").join(head("v"), "v").select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))
         same = join_shared(sets.select("s", "fp"), heads.where("n > 1"), "fp").where("s != head").select(F.col("head").alias("u"), F.col("s").alias("v"))
         near = cut(near.union(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-pairs")
-        found = cut(jaccard.similar(near, sets, rows, docs, text_col, words), "near-links")
-        found = made.keep(jaccard.rest(found, sets, rows, docs, text_col, words), "near-links")
+        found = cut(jaccard.similar(near, sets, docs, text_col, words), "near-links")
+        found = made.keep(jaccard.rest(found, sets, docs, text_col, words), "near-links")
     rows = rows.select("doc_id", "h", "fp", "s")
     groups = rows.groupBy("s").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("least"), F.count(F.lit(1)).alias("n"))
     return shown(place(rows, groups, found, "s"))
