@@ -186,3 +186,21 @@ def one_to_one_collars(refs: DataFrame, dets: DataFrame, key: str, ref_t: str, d
 
     out = fold_sorted(both, [key], [F.asc("t"), F.asc("ref")], fold)
     return out.select("collar", key, F.col("t").alias(ref_t), F.when(F.col("det") != NONE, F.col("det")).alias(det_t))
+
+
+def keep_apart(df: DataFrame, keys: list[str], t: str, apart: int) -> DataFrame:
+    """In time order rows more than `apart` after the last row kept."""
+    at = df.columns.index(t)
+
+    def fold():
+        last: list[int] = []
+
+        def step(row):
+            if last and row[at] - last[0] <= apart:
+                return []
+            last[:] = [row[at]]
+            return [row]
+
+        return step, list
+
+    return fold_sorted(df, keys, [F.asc(t)], fold)

@@ -9,7 +9,7 @@ from ..functions import labels
 from ..operators import adaptive, folds, frames, islands, joins, metrics
 from ..session import table
 from ..streaming import tumbling
-from . import calibration, evaluation, gating, packaging, picture, proposals, refinement, rendering, rows, sustained, terms  # noqa: F401  (they register their queries)
+from . import calibration, evaluation, gating, packaging, picture, proposals, refinement, rendering, rows, sustained, terms, tracks  # noqa: F401  (they register their queries)
 from . import derived as d
 from .derived import ADAPTIVE_SQL, E_SQL, G_SQL, HOUR, MINUTE, P_SQL, S_SQL, V_SQL, smooth_sql
 from .registry import K, oracle_sql, queries, query  # noqa: F401
