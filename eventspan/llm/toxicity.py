@@ -300,9 +300,11 @@ def reject(docs: DataFrame, index: Index, text_col: str = "text", limit: float =
         import pyarrow as pa
 
         index = shared.value
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            yield batch.filter(pa.array([index.score(index.match(t or ""))[0] < limit for t in texts], pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):  # what is made of a batch is larger than it
+                batch = whole.slice(at, 500)
+                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+                yield batch.filter(pa.array([index.score(index.match(t or ""))[0] < limit for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
