@@ -49,7 +49,12 @@ def decay_inside_span(spark, sf):
     return picture.fading(ev, fire_rows(spark, sf), K, "event_id", "t", "cents", "flash", "at_idx", "end_idx", 2, 1)
 
 
-@query()
+@query(f"""WITH RECURSIVE {FLASH_SQL}, {event_frames_sql(15000)}, av AS (SELECT clip, at_idx, min(event_id) AS event_id FROM ef GROUP BY ALL), af AS (SELECT clip, at_idx, row_number() OVER (PARTITION BY clip ORDER BY at_idx) AS rn FROM flash), al AS (SELECT clip, list(at_idx) AS ts FROM av GROUP BY clip),
+st AS (SELECT DISTINCT af.clip, 0::BIGINT AS rn, NULL::BIGINT AS flash_idx, NULL::BIGINT AS ev_idx, coalesce(ts, []::BIGINT[]) AS free FROM af LEFT JOIN al ON al.clip = af.clip
+  UNION ALL SELECT clip, rn, flash_idx, ev_idx, list_filter(free, lambda x: ev_idx IS NULL OR x != ev_idx)
+  FROM (SELECT st.clip, af.rn, af.at_idx AS flash_idx, st.free, -list_sort(list_transform(list_filter(st.free, lambda x: abs(x - af.at_idx) <= 2), lambda x: {{'d': abs(x - af.at_idx), 'x': -x}}))[1].x AS ev_idx FROM st JOIN af ON af.clip = st.clip AND af.rn = st.rn + 1)),
+hit AS (SELECT clip, flash_idx, ev_idx FROM st WHERE rn > 0)
+SELECT coalesce(hit.clip, av.clip) AS clip, coalesce(flash_idx, at_idx) AS peak_idx, event_id, CASE WHEN flash_idx IS NULL THEN 'kept' WHEN event_id IS NULL THEN 'added' ELSE 'moved' END AS what FROM hit FULL JOIN av ON av.clip = hit.clip AND av.at_idx = ev_idx""")
 def flash_align(spark, sf):
     """Flashes in time order each take the nearest unused strong event within two frames; a flash without one makes an event of
     its own and events without a flash stay."""
