@@ -3,6 +3,7 @@ near-duplicate search that fingerprints can't do: at this similarity they differ
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ NUM, DEN = 4, 5
 SAMPLE, COMMON, MOST_COMMON = 5000, 3, 1 << 20
 #: Buckets up to this size give all their pairs at once.
 PAIRWISE = 32
+#: Ratio of sizes within which a band of a large bucket lies; more than that of two similar sets.
+BAND = 1.3
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:
@@ -153,23 +156,41 @@ def candidates(sets: DataFrame) -> DataFrame:
 
 
 def across(large: DataFrame) -> DataFrame:
-    """large: key, s, n, at, root. The pairs of its buckets that pass the filters and have different roots."""
+    """large: key, s, n, at, root. The pairs of its buckets that pass the filters and have different roots.
+
+    A bucket is dealt by bands of sizes. Similar sets differ less in size than a band is wide, so a row meets those of its own band
+    and is a guest in the next one; two guests have met in theirs. The number of partitions is given, since few bytes are much work.
+    """
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for rows in runs(batches):
             key, s, n, at, root = (rows[c].to_numpy(dtype=np.int64) for c in ("key", "s", "n", "at", "root"))
+            own = rows["own"].to_numpy(dtype=bool)
             edge = edges(key)
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 names, place, size = np.unique(root[a:b], return_inverse=True, return_counts=True)
+                if len(names) == 1 or not own[a:b].any():
+                    continue
                 other = place != np.argmax(size)
                 for i in np.nonzero(other)[0].tolist():
-                    ok = may_link(n[a + i], at[a + i], n[a:b], at[a:b]) & (place != place[i])
+                    ok = may_link(n[a + i], at[a + i], n[a:b], at[a:b]) & (place != place[i]) & (own[a:b] | own[a + i])
                     ok[: i + 1] &= ~other[: i + 1]  # met before
                     y = s[a:b][ok]
                     if len(y):
-                        yield pd.DataFrame({"u": np.minimum(y, s[a + i]), "v": np.maximum(y, s[a + i])})
-
-    return large.repartition("key").sortWithinPartitions("key", "at", "s").mapInPandas(find, "u long, v long").distinct()
+                        held.append((np.minimum(y, s[a + i]), np.maximum(y, s[a + i])))
+                    if len(held) >= 256:
+                        yield pd.DataFrame(dict(zip("uv", map(np.concatenate, zip(*held)))))
+                        held = []
+        if held:
+            yield pd.DataFrame(dict(zip("uv", map(np.concatenate, zip(*held)))))
+
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND))
+    ways = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own"))))
+    # Buckets whose keys clash are compared as one, which gives more candidates and loses none.
+    dealt = large.withColumn("way", ways).select(F.xxhash64("key", "way.band").alias("key"), "s", "n", "at", "root", "way.own")
+    parts = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "key").sortWithinPartitions("key", "at", "s").mapInPandas(find, "u long, v long").distinct()
 
 
 def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:

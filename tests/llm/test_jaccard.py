@@ -1,6 +1,8 @@
 import random
 
-from eventspan.llm import simhash
+import numpy as np
+
+from eventspan.llm import jaccard, simhash
 
 
 def brute(texts, words=5, least=0.8):
@@ -45,3 +47,25 @@ def test_components_of_all_similar_pairs(spark):
     # SimHash at four bits keeps many of these copies.
     assert simhash.near_duplicates(df).where("kept").count() > len(left)
     assert simhash.near_duplicates(df.limit(0), words=5, similarity=True).count() == 0
+
+
+def test_across_gives_every_pair_of_a_large_bucket_whatever_the_sizes(spark):
+    """Sets of 1 to 400 shingles in two buckets, one root holding most of them: all pairs that pass the filters and have different
+    roots, none twice and no others."""
+    rng = np.random.default_rng(5)
+    rows, s = [], 0
+    for key in (11, -7):
+        for n in [1, 4, 5, *rng.integers(1, 401, 150).tolist()]:
+            s += 1
+            rows.append((key, s, int(n), int(rng.integers(0, max(1, n // 5 + 1))), int(rng.choice([1, 1, 1, 2, 3, s]))))
+    found = [tuple(r) for r in jaccard.across(spark.createDataFrame(rows, "key long, s long, n int, at int, root long")).collect()]
+    want = set()
+    for k, a, n, at, root in rows:
+        for k2, b, m, by, root2 in rows:
+            if k == k2 and a < b and root != root2 and jaccard.may_link(n, at, m, by):
+                want.add((a, b))
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 100
+
+
+def test_across_of_nothing_gives_nothing(spark):
+    assert jaccard.across(spark.createDataFrame([], "key long, s long, n int, at int, root long")).isEmpty()
