@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import cut, fresh, join_shared, map_texts, row_key, scratch
+from .common import cut, drop_path, fresh, join_shared, map_texts, new_path, row_key, scratch
 from .components import components
 from .shingles import BITS, fingerprint
 
@@ -251,8 +251,11 @@ def shown(found: DataFrame) -> DataFrame:
 def similar_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """See near_duplicates. Rows with one set of shingles are collapsed to a set s, and links are between sets."""
     with scratch(docs.sparkSession) as made:
-        rows = made.keep(jaccard.rows_of(docs, id_col, text_col, words), "near-rows")
-        sets = cut(rows.select("s", "n", "t", "fp", "prefix").dropDuplicates(["s"]), "near-sets")
+        path = new_path(docs.sparkSession, "near-wide")
+        wide = cut(jaccard.rows_of(docs, id_col, text_col, words), "near-wide", path)
+        sets = cut(wide.select("s", "n", "t", "fp", "sketch", "prefix").dropDuplicates(["s"]), "near-sets")
+        rows = made.keep(wide.select("doc_id", "h", "fp", "s"), "near-rows")
+        drop_path(docs.sparkSession, path)
         # Links of fingerprints, and sets of one fingerprint, as pairs of sets.
         heads = cut(sets.groupBy("fp").agg(F.min("s").alias("head"), F.count(F.lit(1)).alias("n")), "near-heads")
         head = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head"))
@@ -261,7 +264,6 @@ def similar_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int)
         near = cut(near.union(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-pairs")
         found = cut(jaccard.similar(near, sets, docs, text_col, words), "near-links")
         found = made.keep(jaccard.rest(found, sets, docs, text_col, words), "near-links")
-    rows = rows.select("doc_id", "h", "fp", "s")
     groups = rows.groupBy("s").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("least"), F.count(F.lit(1)).alias("n"))
     return shown(place(rows, groups, found, "s"))
 
@@ -272,8 +274,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     k1, k2, turn = fresh(docs.columns, "k1", "k2", "turn")
     names = dict(zip((k1, k2), row_key(id_col, text_col)))
     near = near_duplicates(docs, id_col, text_col, words, similarity)
-    kept = near.where("kept").select(F.col("doc_id").alias(k1), F.col("h").alias(k2)).distinct()
-    keyed = docs.withColumn(k1, F.col(id_col).cast("long")).withColumn(k2, names[k2])
-    same = [keyed[k1].eqNullSafe(kept[k1]), keyed[k2] == kept[k2]]
-    one = keyed.join(kept, same, "left_semi").withColumn(turn, F.row_number().over(Window.partitionBy(k1, k2).orderBy(F.col(id_col))))
+    # h tells a null id from the number that stands for it. With plain equality the texts are dealt once, for join and window.
+    kept = near.where("kept").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias(k1), F.col("h").alias(k2)).distinct()
+    keyed = docs.withColumn(k1, names[k1]).withColumn(k2, names[k2])
+    one = keyed.join(kept, [k1, k2], "left_semi").withColumn(turn, F.row_number().over(Window.partitionBy(k1, k2).orderBy(F.col(id_col))))
     return one.where(F.col(turn) == 1).select(docs.columns)

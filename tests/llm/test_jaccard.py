@@ -69,3 +69,46 @@ def test_across_gives_every_pair_of_a_large_bucket_whatever_the_sizes(spark):
 
 def test_across_of_nothing_gives_nothing(spark):
     assert jaccard.across(spark.createDataFrame([], "key long, s long, n int, at int, root long")).isEmpty()
+
+
+def test_sketches_part_no_similar_sets_and_most_others():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 500, 5000):
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        most = n // 9  # elements that differ on each side, so that 4 in 5 are shared
+        near = np.unique(np.concatenate([a[most:], rng.integers(0, 2**64, most, dtype=np.uint64)]))
+        sub = a[: -(-4 * len(a) // 5)]
+        other = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        agree = lambda x, y: bool(jaccard.may_agree(len(x), np.array([len(y)]), jaccard.unpacked([jaccard.sketch(y)]), jaccard.unpacked([jaccard.sketch(x)])[0])[0])
+        assert agree(a, a) and agree(a, near) and agree(a, sub) and agree(sub, a)
+        assert n > 500 or not agree(a, other) or jaccard.sketch(a) == jaccard.sketch(other)
+
+
+def test_pairs_are_compared_in_parts_and_sketches_keep_unlike_pairs_of_large_buckets_out(spark, monkeypatch):
+    """Texts that share a rare phrase and little else: their pairs grow with the square of the texts, and none may go further than a
+    few bytes. The result is the same in many parts."""
+    r = random.Random(2)
+    phrase = [word(r) for _ in range(30)]
+    texts = [" ".join([word(r) for _ in range(40)] + phrase + [word(r) for _ in range(40)]) for _ in range(150)]
+    texts += [t + " end" for t in texts[:20]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    # A sample that does not show the phrase to be common, so that it comes into prefixes.
+    monkeypatch.setattr(jaccard, "common_shingles", lambda *_: (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)))
+    monkeypatch.setattr(jaccard, "LEAST", 400)
+    for name in ("SKETCHES", "PREFIXES", "FULL", "ROWS"):
+        monkeypatch.setattr(jaccard, name, 0.1)
+    tried, parts, plain, whole = [], [], jaccard.similar, jaccard.in_parts
+
+    def counted(pairs, *args):
+        tried.append(pairs.count())
+        return plain(pairs, *args)
+
+    def split(rows, by, most, *args):
+        parts.append(rows.count() > max(most, jaccard.LEAST))
+        return whole(rows, by, most, *args)
+
+    monkeypatch.setattr(jaccard, "similar", counted)
+    monkeypatch.setattr(jaccard, "in_parts", split)
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(df, words=5, similarity=True).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts) and any(parts)
+    assert sum(tried) < 100
